@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, html, langid, pii, quality, secrets
+from ledgerlake.llm import bpe, decontam, html, langid, neardup, pii, quality, secrets, substring
 from ledgerlake.llm import words as W
 from ledgerlake.llm.lasting import lasting
 
@@ -21,6 +21,10 @@ def _held_out(doc_id: Column, rule: tuple[int, int]) -> Column:
     return W.crc_mod(doc_id, rule[0]) == rule[1]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"), lasting)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_table(spark, sf_dir, "documents"))
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1)
@@ -38,6 +42,15 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents"), lasting)
     base = [(k, F.col(k)) for k in pii.BASE]
@@ -61,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_language_id, op4_html_extract, op8_personal_data, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_byte_bpe, op3_language_id, op4_html_extract, op5_repeated_passages, op7_benchmark_overlap, op8_personal_data, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
