@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts a shuffle partition: several, so that hashing spreads them evenly.
-PARTS_A_PARTITION = 2
-
 MAIL = "to long, of long, keys binary, more binary"
 
 
 def n_parts(df: DataFrame) -> int:
-    return PARTS_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One part a shuffle partition, whose number is set so that a partition fits a task's memory."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def in_parts(docs: DataFrame, n: int) -> DataFrame:
@@ -62,12 +60,31 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def send(part: int, n: int, keys: np.ndarray, *more: np.ndarray) -> pa.Table:
-    """Mail from a part: its sorted keys, by bucket, and arrays of the same length that go with them."""
+def squeeze(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, in as many bytes each as the largest takes."""
+    if not len(keys):
+        return b""
+    steps = np.concatenate([keys[:1], np.diff(keys)])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(keys) == 1 else max(1, (int(steps[1:].max()).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros((1 + (len(data) - 9) // width, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def send(part: int, n: int, keys: np.ndarray, *more: np.ndarray, first: int = 0) -> pa.Table:
+    """Mail from a part: its sorted keys, by bucket (numbered from ``first``), and arrays of the same length that go with them."""
     buckets = bucket_of(keys, n)
     cuts = np.flatnonzero(np.diff(buckets)) + 1
     starts, ends = np.concatenate([[0], cuts]).astype(int), np.append(cuts, len(keys)).astype(int)
-    rows = [(int(buckets[a]), part, keys[a:b].tobytes(), pack(*(x[a:b] for x in more))) for a, b in zip(starts, ends, strict=True) if b > a]
+    rows = [(first + int(buckets[a]), part, squeeze(keys[a:b]), pack(*(x[a:b] for x in more))) for a, b in zip(starts, ends, strict=True) if b > a]
     return table(rows)
 
 
@@ -83,7 +100,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 def received(rows: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
     """(sender, key, more...) of all mail, flat, in the order of the rows."""
     of, keys, more = rows["of"].to_numpy(), rows["keys"].to_pylist(), rows["more"].to_pylist()
-    parsed = [np.frombuffer(k, np.uint64) for k in keys]
+    parsed = [unsqueeze(k) for k in keys]
     sizes = np.array([len(k) for k in parsed], np.int64)
     out = [np.repeat(of, sizes), np.concatenate(parsed) if parsed else np.zeros(0, np.uint64)]
     offset = np.zeros(len(parsed), np.int64)

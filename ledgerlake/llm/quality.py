@@ -227,13 +227,35 @@ def threshold(scores: DataFrame, labels: DataFrame, good_lost: float = GOOD_LOST
     return float(best[0] + best[-1]) / 2 / BINS
 
 
-def judge(docs: DataFrame, labels: DataFrame, lasting) -> DataFrame:
-    """Per document: its counts, base_failed, anomaly, and whether it is kept.
-
-    ``lasting`` cuts the lineage (a checkpoint): the statistics are used three times.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, lasting) -> tuple[DataFrame, Forest | None, float]:
+    """(statistics, forest, threshold). ``lasting`` cuts the lineage: the statistics are used several times."""
     stats = lasting(statistics(docs))
-    scores = scored(stats, fit(stats))
-    limit = threshold(scores, labels)
-    failed = base_failed()
+    forest = fit(stats)
+    return stats, forest, threshold(scored(stats, forest), labels)
+
+
+def judge(docs: DataFrame, labels: DataFrame, lasting) -> DataFrame:
+    """Per document: its counts, base_failed, anomaly, and whether it is kept."""
+    stats, forest, limit = _fitted(docs, labels, lasting)
+    scores, failed = scored(stats, forest), base_failed()
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("anomaly") < limit)).alias("kept"), "anomaly")
+
+
+def passing(docs: DataFrame, labels: DataFrame, lasting) -> DataFrame:
+    """The rows of docs, whole, that are kept."""
+    _, forest, limit = _fitted(docs, labels, lasting)
+
+    def make():
+        cache = W.WordHashes()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "text", "sample_key"])
+            stats = _stats(rows, cache)
+            n, again = (stats.column(k).to_numpy() for k in ("n_words", "n_repeat_words"))
+            x = np.array(stats.column("x").flatten(), np.float32).reshape(-1, len(FEATURES))
+            odd = forest.score(x) >= limit if forest is not None and len(x) else np.zeros(len(x), bool)
+            return batch.filter(pa.array(~((n < 50) | (100 * again > 50 * n) | odd)))
+
+        return step
+
+    return W.map_batches(docs, docs.schema, make)

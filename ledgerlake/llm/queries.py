@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, decontam, html, langid, neardup, pii, quality, secrets, substring
+from ledgerlake.llm import bpe, decontam, html, katz, langid, neardup, pii, quality, secrets, substring
 from ledgerlake.llm import words as W
 from ledgerlake.llm.lasting import lasting
 
@@ -47,6 +47,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"), LM_HELD_OUT)
+
+
 def op7_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -74,7 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_byte_bpe, op3_language_id, op4_html_extract, op5_repeated_passages, op7_benchmark_overlap, op8_personal_data, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_byte_bpe, op3_language_id, op4_html_extract, op5_repeated_passages, op6_language_model, op7_benchmark_overlap, op8_personal_data, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -93,7 +93,7 @@ def _recurring(to: int, rows: pa.Table) -> pa.Table:
     of, keys, several = P.received(rows, np.bool_)
     distinct, n = np.unique(keys, return_counts=True)
     hit = P.member(keys, np.union1d(distinct[n > 1], keys[several]))
-    return P.table((int(p), to, keys[hit & (of == p)].tobytes(), b"") for p in np.unique(of[hit]))
+    return P.table((int(p), to, P.squeeze(keys[hit & (of == p)]), b"") for p in np.unique(of[hit]))
 
 
 def _candidates(docs: pa.Table, recurring: np.ndarray, cache: W.WordHashes):
@@ -127,7 +127,7 @@ def _firsts(to: int, rows: pa.Table) -> pa.Table:
     home, owner = of[first][group], ids[first][group]
     wanted = ~first | several
     of, keys, home, owner = of[wanted], keys[wanted], home[wanted], owner[wanted]
-    return P.table((int(p), to, keys[here].tobytes(), P.pack(owner[here], of[here])) for p in np.unique(home) for here in [home == p])
+    return P.table((int(p), to, P.squeeze(keys[here]), P.pack(owner[here], of[here])) for p in np.unique(home) for here in [home == p])
 
 
 _PASSAGES = "to long, doc_id long, passage binary"
