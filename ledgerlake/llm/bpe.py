@@ -34,10 +34,19 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of a piece that the recursive query takes; squared bytes of all pieces of one query.
 LONGEST, QUERY_WORK = 256, 8_000_000
 #: Words that a Python worker remembers (twice as many at most), and characters of text that it encodes at once.
-CACHED, BATCH_CHARS = 200_000, 6_000_000
+CACHED, BATCH_CHARS = 300_000, 6_000_000
 
 #: White space that the short cut by words does not handle: runs, ends of text, anything but space and newline.
 _UNUSUAL = re.compile(r"\s(?:\s|\Z)|[^\S \n]|\A\s")
+#: Marks the word that begins a text; a word that begins a later line has its newline before it.
+_START = "\x00"
+
+
+def _usual(text: str) -> bool:
+    """Single spaces and newlines only, between words: each word, with the white space before it, is then split by itself."""
+    if text.replace("\n", "").isprintable():
+        return text[:1] not in " \n" and text[-1:] not in " \n" and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+    return not _UNUSUAL.search(text) and _START not in text
 
 _ENCODE = """
 with recursive step(w, toks) as (
@@ -106,10 +115,10 @@ class Coder:
         pairs = [(a * 1048576 + b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         self._table("merges", pair=pa.array([x[0] for x in pairs], pa.int64()), rank=pa.array([x[1] for x in pairs], pa.int64()))
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()), hex=pa.array([k.hex() for k in self.ranks], pa.string()))
-        #: Words after a space, and words at the start of a line: ids joined by a space, and bytes decoded from them.
-        self.inner: dict[str, tuple[str, bytes]] = {}
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.old_inner, self.old_first = {}, {}
+        #: By word: ids joined by a space, and the bytes decoded from them.
+        self.ids: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.old_ids, self.old_bytes = {}, {}
         self.ends = {c: (str(self.ranks[c.encode()]), c.encode()) for c in ",."}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
@@ -156,54 +165,38 @@ class Coder:
 
     def _learn(self, strings: list[str]) -> list[tuple[str, bytes]]:
         """ids and decoded bytes of each string, whose pieces are encoded together."""
-        split = [self.pattern.findall(s) for s in strings]
+        split = [[s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else self.pattern.findall(s) for s in strings]
         distinct = {p: i for i, p in enumerate(dict.fromkeys(p for pieces in split for p in pieces))}
         coded = self.encode_pieces([p.encode() for p in distinct])
         return [coded[distinct[pieces[0]]] if len(pieces) == 1 else (" ".join([coded[distinct[p]][0] for p in pieces]), b"".join([coded[distinct[p]][1] for p in pieces])) for pieces in split]
 
-    def _known(self, young: dict, old: dict, words: set[str], lead: str) -> None:
-        """Puts every word into ``young``. A letter followed by a comma or full stop ends a piece, so such a word adds to the one without."""
-        missing = words - young.keys()
-        for w in [w for w in missing if w in old]:
-            young[w] = old[w]
-        missing -= young.keys()
-        ends = [w for w in missing if w[-1:] in self.ends and w[-2:-1].isalpha()]
-        rest = list((missing.difference(ends) | {w[:-1] for w in ends}) - young.keys())
-        young.update(zip(rest, self._learn([lead + w for w in rest]), strict=True))
+    def _know(self, words: set[str]) -> None:
+        """Learns words, given as in a text: after a space unless marked. A letter followed by a comma or full stop ends a piece, so such a word adds to the one without."""
+        missing = words - self.ids.keys()
+        for w in missing & self.old_ids.keys():
+            self.ids[w], self.bytes[w] = self.old_ids[w], self.old_bytes[w]
+        missing -= self.ids.keys()
+        ends = [w for w in missing if w[-1] in self.ends and w[-2:-1].isalpha()]
+        rest = list((missing.difference(ends) | {w[:-1] for w in ends}) - self.ids.keys())
+        for w, (ids, text) in zip(rest, self._learn([w[1:] if w[0] == _START else w if w[0] == "\n" else " " + w for w in rest]), strict=True):
+            self.ids[w], self.bytes[w] = ids, text
         for w in ends:
-            (ids, text), (mark, sign) = young[w[:-1]], self.ends[w[-1]]
-            young[w] = (f"{ids} {mark}", text + sign)
+            mark, sign = self.ends[w[-1]]
+            self.ids[w], self.bytes[w] = f"{self.ids[w[:-1]]} {mark}", self.bytes[w[:-1]] + sign
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """(ids joined by a space, decoded bytes) of each text."""
-        if len(self.inner) > CACHED:
-            self.old_inner, self.inner = self.inner, {}
-        if len(self.first) > CACHED:
-            self.old_first, self.first = self.first, {}
-        lines = [None if _UNUSUAL.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        self._known(self.first, self.old_first, {line[0] for text in lines if text for line in text if line[0]}, "")
-        inner: set[str] = set()
-        for text in lines:
-            for line in text or ():
-                inner.update(line[1:])
-        self._known(self.inner, self.old_inner, inner, " ")
-        odd = [i for i, x in enumerate(lines) if x is None]
-        whole = dict(zip(odd, self._learn([texts[i] for i in odd]), strict=True))
-        newline = (str(self.ranks[b"\n"]), b"\n")
-        out = []
-        for i, text in enumerate(lines):
-            if text is None:
-                out.append(whole[i])
-                continue
-            parts: list[tuple[str, bytes]] = []
-            for k, line in enumerate(text):
-                if k:
-                    parts.append(newline)
-                if line[0]:
-                    parts.append(self.first[line[0]])
-                parts += map(self.inner.__getitem__, line[1:])
-            out.append((" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
-        return out
+        if len(self.ids) > CACHED:
+            self.old_ids, self.old_bytes, self.ids, self.bytes = self.ids, self.bytes, {}, {}
+        split = [(_START + t).replace("\n", " \n").split(" ") if _usual(t) else None for t in texts]
+        self._know(set().union(*(x for x in split if x)))
+        odd = [i for i, x in enumerate(split) if x is None]
+        whole = dict(zip(odd, self._learn_whole([texts[i] for i in odd]), strict=True))
+        ids, text = self.ids.__getitem__, self.bytes.__getitem__
+        return [whole[i] if x is None else (" ".join(map(ids, x)), b"".join(map(text, x))) for i, x in enumerate(split)]
+
+    def _learn_whole(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        return [got if t else ("", b"") for t, got in zip(texts, self._learn([t or " " for t in texts]), strict=True)]
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
