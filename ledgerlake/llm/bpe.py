@@ -27,6 +27,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm import words as W
 
@@ -248,3 +249,28 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return step
 
     return W.map_batches(coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("string")), "doc_id long, decoded binary", make)
+
+
+def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """docs with n_tokens and ids added (replacing columns of those names), and text as decoded from the ids; a null text stays null."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    docs = docs.select([c for c in docs.columns if c.lower() not in ("n_tokens", "ids")])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType())])
+
+    def make():
+        coder = _coder(path, public_tokenizers.PATTERN)
+
+        def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            given = batch.column("text").to_pylist()
+            for first, texts in _parts(given):
+                out = coder.encode(texts)
+                rows = batch.slice(first, len(texts))
+                columns = {k: rows.column(k) for k in batch.schema.names}
+                columns["text"] = pa.array([None if given[first + i] is None else x[1].decode() for i, x in enumerate(out)], pa.string())
+                columns["n_tokens"] = pa.array([x[0].count(" ") + 1 if x[0] else 0 for x in out], pa.int64())
+                columns["ids"] = pa.array([x[0] for x in out], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        return step
+
+    return W.map_batches(docs, schema, make)
