@@ -22,7 +22,6 @@ from ledgerlake.table import Table
 
 #: What describes a change; deletes come before inserts within a transaction.
 META = ("_op", "_txn_seq", "_txn_id", "_file", "_pos")
-_RANK = F.when(F.col("_op") == "delete", 0).when(F.col("_op") == "update", 1).otherwise(2)
 
 
 @dataclass(frozen=True)
@@ -88,7 +87,8 @@ def _cdc_keys(table: Table) -> list[str]:
 
 
 def in_order(changes: DataFrame) -> DataFrame:
-    return changes.orderBy(F.col("_txn_seq").asc_nulls_last(), _RANK, "_file", "_pos")
+    rank = F.when(F.col("_op") == "delete", 0).when(F.col("_op") == "update", 1).otherwise(2)
+    return changes.orderBy(F.col("_txn_seq").asc_nulls_last(), rank, "_file", "_pos")
 
 
 def _raw(table: Table, after: int, to: int, schema: T.StructType) -> DataFrame:
