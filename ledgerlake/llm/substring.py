@@ -6,7 +6,7 @@
    first document of a window that others hold too learns which parts hold it.
 3. It sends them the words: its longest runs of such windows, the recurring passages.
 4. Each part compiles the passages it received into Aho-Corasick automata, at most SHARD anchors
-   each: runs of ANCHOR words at multiples of ANCHOR, of which any window that is shared holds one.
+   each: of each window the run of ANCHOR words that fewest passages hold.
    All documents of the part stream through; at each anchor, text and passage are compared word by
    word, both ways, and stretches of a whole window or more are occurrences. Hashes thus only say
    where to look; words decide.
@@ -19,9 +19,12 @@ other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ledgerlake.llm import parts as P
@@ -30,6 +33,9 @@ from ledgerlake.llm import words as W
 WINDOW, GRAM, ANCHOR = 13, 5, 7
 #: Anchors of one automaton.
 SHARD = 60_000
+#: Characters of a word's code: enough for 128**3 words of a part's passages.
+DIGITS = 3
+_UNKNOWN = "\x01"
 
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -49,8 +55,10 @@ def minimizers(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return at, low[at]
 
 
-def _held(docs: pa.Table, cache: W.WordHashes):
-    """(doc_ids, words, hashes, offsets) of the documents, batch by batch; those without an id as without words."""
+def _held(docs: pa.Table, cache: W.WordHashes, only: np.ndarray | None = None):
+    """(doc_ids, words, hashes, offsets) of the documents, or of those with certain ids, batch by batch; those without an id as without words."""
+    if only is not None:
+        docs = docs.filter(pc.is_in(docs["doc_id"], pa.array(np.unique(only))))
     ids, texts = docs["doc_id"].to_pylist(), W.text_bytes(docs["text"])
     for first, held in W.batches([t if i is not None else None for i, t in zip(ids, texts, strict=True)]):
         hashes, offsets = W.flat(held, cache)
@@ -138,7 +146,7 @@ def _send_passages(part: int, docs: pa.Table, rows: pa.Table) -> pa.Table:
     order = np.lexsort((wanted, keys))
     keys, owners, wanted = keys[order], owners[order], wanted[order]
     out: tuple[list, list, list] = ([], [], [])
-    for own, held, hashes, offsets in _held(docs, W.WordHashes()) if len(keys) else ():
+    for own, held, hashes, offsets in _held(docs, W.WordHashes(), owners) if len(keys) else ():
         at = np.flatnonzero(W.starts_within(offsets, WINDOW))
         windows = W.grams(hashes, WINDOW)[at]
         low, high = np.searchsorted(keys, windows, "left"), np.searchsorted(keys, windows, "right")
@@ -163,25 +171,48 @@ def _send_passages(part: int, docs: pa.Table, rows: pa.Table) -> pa.Table:
 
 
 class Phrases:
-    """Aho-Corasick automata over the anchors of passages."""
+    """Aho-Corasick automata over the anchors of passages.
+
+    Of the runs of ANCHOR words in each window of a passage, the one in fewest passages is an anchor. Passages
+    that share most of their words with many others are thus found by what sets them apart.
+    """
 
     def __init__(self, passages: list[tuple[int, bytes]]) -> None:
-        self.numbers: dict[bytes, int] = {}
         self.owners = [owner for owner, _ in passages]
-        self.texts = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split()] for _, text in passages]
+        split = [text.split() for _, text in passages]
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+        #: Words as DIGITS characters each, of ranges of their own, so that automata stay narrow and matches aligned.
+        self.code = {w: _digits(i) for w, i in numbers.items()}
+        self.numbers = [[numbers[w] for w in words] for words in split]
+        self.texts = ["".join([self.code[w] for w in words]) for words in split]
         self.shards = []
-        anchors: dict[tuple, list[tuple[int, int]]] = {}
-        for p, words in enumerate(self.texts):
-            for k in range(0, len(words) - ANCHOR + 1, ANCHOR):
-                anchors.setdefault(tuple(words[k : k + ANCHOR]), []).append((p, k))
+        anchors: dict[str, list[tuple[int, int]]] = {}
+        for p, k in self._rarest():
+            anchors.setdefault(self.texts[p][DIGITS * k : DIGITS * (k + ANCHOR)], []).append((p, k))
             if len(anchors) >= SHARD:
                 self._compile(anchors)
                 anchors = {}
         self._compile(anchors)
 
-    def _compile(self, anchors: dict) -> None:
+    def _rarest(self) -> Iterator[tuple[int, int]]:
+        """(passage, start) of the anchors, each once."""
+        if not self.numbers:
+            return
+        sizes = np.array([len(t) for t in self.numbers])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        runs = W.grams(W.mix(np.fromiter((n for t in self.numbers for n in t), np.uint64, int(offsets[-1]))), ANCHOR)
+        _, group, count = np.unique(runs, return_inverse=True, return_counts=True)
+        # Fewest first, then the same choice wherever the run occurs.
+        rank = np.argsort(np.lexsort((np.arange(len(count)), count)), kind="stable")[group]
+        at = np.flatnonzero(W.starts_within(offsets, WINDOW))
+        around = np.lib.stride_tricks.sliding_window_view(rank, WINDOW - ANCHOR + 1)
+        for start in np.unique(at + around[at].argmin(axis=1)).tolist():
+            p = int(np.searchsorted(offsets, start, "right")) - 1
+            yield p, int(start - offsets[p])
+
+    def _compile(self, anchors: dict[str, list[tuple[int, int]]]) -> None:
         if anchors:
-            shard = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            shard = ahocorasick.Automaton()
             for anchor, places in anchors.items():
                 shard.add_word(anchor, places)
             shard.make_automaton()
@@ -189,26 +220,47 @@ class Phrases:
 
     def earlier(self, doc_id: int, words: list[bytes]) -> np.ndarray:
         """Which words lie in a window that a passage of a smaller doc_id holds."""
-        ids = tuple(self.numbers.get(w, 0) for w in words)
-        covered = np.zeros(len(ids) + 1, np.int64)
+        covered = np.zeros(len(words) + 1, np.int64)
+        at = 0
+        # A window has no word that is in no passage.
+        for known in "".join([self.code.get(w, _UNKNOWN) for w in words]).split(_UNKNOWN):
+            if len(known) >= DIGITS * WINDOW:
+                self._mark(doc_id, known, covered[at:])
+            at += len(known) // DIGITS + 1
+        return np.cumsum(covered)[:-1] > 0
+
+    def _mark(self, doc_id: int, text: str, covered: np.ndarray) -> None:
         done: dict[tuple[int, int], int] = {}
         for shard in self.shards:
-            for end, places in shard.iter(ids):
-                start = end - ANCHOR + 1
+            for last, places in shard.iter(text):
+                end = (last + 1) // DIGITS
+                start = end - ANCHOR
                 for p, k in places:
-                    if self.owners[p] >= doc_id or done.get((p, start - k), -1) > end:
+                    if self.owners[p] >= doc_id or done.get((p, start - k), -1) >= end:
                         continue
-                    passage = self.texts[p]
-                    a, b = start, end + 1
-                    while a > 0 and a - start + k > 0 and ids[a - 1] == passage[a - 1 - start + k]:
-                        a -= 1
-                    while b < len(ids) and b - start + k < len(passage) and ids[b] == passage[b - start + k]:
-                        b += 1
+                    a = start - _common(text[: DIGITS * start], self.texts[p][: DIGITS * k], -1)
+                    b = end + _common(text[DIGITS * end :], self.texts[p][DIGITS * (k + ANCHOR) :], 1)
                     done[p, start - k] = b
                     if b - a >= WINDOW:
                         covered[a] += 1
                         covered[b] -= 1
-        return np.cumsum(covered)[:-1] > 0
+
+
+def _digits(number: int) -> str:
+    return "".join(chr((d + 1) * 256 + number // 128**d % 128) for d in range(DIGITS))
+
+
+def _common(one: str, other: str, step: int) -> int:
+    """Words that two coded texts have in common at their starts (step 1) or ends (step -1), by halving."""
+    low, high = 0, min(len(one), len(other)) // DIGITS
+    while low < high:
+        mid = (low + high + 1) // 2
+        n = DIGITS * mid
+        if one[:n] == other[:n] if step > 0 else one[len(one) - n :] == other[len(other) - n :]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def _remove(part: int, docs: pa.Table, rows: pa.Table) -> pa.Table:
