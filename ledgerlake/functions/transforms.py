@@ -5,6 +5,7 @@ Partitions are hidden: the values are metadata of a file and never part of its p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import date, datetime, timezone
 from decimal import Decimal
@@ -22,30 +23,39 @@ MONOTONIC = ("identity", "year", "month", "day", "hour", "truncate")
 _MASK32 = 0xFFFFFFFF
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is named: nested hashing would else grow without bound."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _low(x: Column) -> Column:
     return x.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _times(x: Column, factor: int) -> Column:
     """x * factor modulo 2^32, in halves so that 64-bit products don't overflow."""
-    high = _low(F.shiftrightunsigned(x, 16) * F.lit(factor & 0xFFFF) + x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor >> 16))
-    return _low(F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16) + x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor & 0xFFFF))
+    low, high = F.lit(factor & 0xFFFF), F.lit(factor >> 16)
+    return _let(x, lambda v: _low(F.shiftleft((F.shiftrightunsigned(v, 16) * low + v.bitwiseAND(F.lit(0xFFFF)) * high).bitwiseAND(F.lit(0xFFFF)), 16) + v.bitwiseAND(F.lit(0xFFFF)) * low))
 
 
 def _turned(x: Column, n: int) -> Column:
-    return _low(F.shiftleft(x, n)).bitwiseOR(F.shiftrightunsigned(x, 32 - n))
+    return _let(x, lambda v: _low(F.shiftleft(v, n)).bitwiseOR(F.shiftrightunsigned(v, 32 - n)))
+
+
+def _folded(x: Column, n: int) -> Column:
+    return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
+
+
+def _scrambled(word: Column) -> Column:
+    return _times(_turned(_times(word, 0xCC9E2D51), 15), 0x1B873593)
 
 
 def _mixed(h: Column, word: Column) -> Column:
-    h = h.bitwiseXOR(_times(_turned(_times(word, 0xCC9E2D51), 15), 0x1B873593))
-    return _low(_turned(h, 13) * 5 + F.lit(0xE6546B64))
+    return _low(_turned(h.bitwiseXOR(_scrambled(word)), 13) * 5 + F.lit(0xE6546B64))
 
 
 def _final(h: Column, length: Column) -> Column:
-    h = h.bitwiseXOR(length)
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 16)), 0x85EBCA6B)
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+    return _folded(_times(_folded(_times(_folded(h.bitwiseXOR(length), 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
 
 
 def murmur3_long(value: Column) -> Column:
@@ -72,7 +82,7 @@ def murmur3_bytes(value: Column) -> Column:
     h = F.aggregate(whole, F.lit(0).cast("long"), lambda acc, i: _mixed(acc, word(4 * i, 4)))
     start = (size - size % 4).cast("int")
     tail = F.when(size % 4 == 1, word(start, 1)).when(size % 4 == 2, word(start, 2)).when(size % 4 == 3, word(start, 3))
-    h = F.when(size % 4 == 0, h).otherwise(h.bitwiseXOR(_times(_turned(_times(tail, 0xCC9E2D51), 15), 0x1B873593)))
+    h = F.when(size % 4 == 0, h).otherwise(h.bitwiseXOR(_scrambled(tail)))
     return _final(h, size)
 
 

@@ -139,6 +139,8 @@ class DataFile:
     column_stats: dict | None = None
     dv_path: str | None = None
     dv_cardinality: int = 0
+    #: Columns that Spark's reader can't widen by itself, with the type that they were written in.
+    written_as: tuple[tuple[str, pa.DataType], ...] = ()
 
     @property
     def live_rows(self) -> int:

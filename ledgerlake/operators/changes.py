@@ -201,7 +201,7 @@ def with_schema(table: Table, changes: DataFrame) -> DataFrame:
 def debezium(changes: DataFrame, names: list[str], source: str) -> DataFrame:
     """(key, value): one JSON envelope a change, with before, after, source and op (c, u, d). Takes changes with _prev."""
     row, gone = F.struct(*names), F.col("_op") == "delete"
-    before = F.when(gone, row).when(F.col("_op") == "update", F.col("_prev"))
+    before = F.when(gone, row).when(F.col("_op") == "update", F.struct(*[F.col(f"_prev.{n}").alias(n) for n in names]))
     envelope = F.struct(
         before.alias("before"), F.when(~gone, row).alias("after"),
         F.struct(F.lit(source).alias("table"), F.col("_txn_id").alias("txId"), F.col("_txn_seq").alias("sequence")).alias("source"),

@@ -13,6 +13,7 @@ from ledgerlake.model import DataFile, View
 from ledgerlake.plans import pruning
 from ledgerlake.plans.predicate import Predicate
 from ledgerlake.sources.formats import Reader, limited
+from ledgerlake.types import to_spark
 
 #: Where a row lies; named so that no table's column is like it.
 PATH, POSITION = "__file_path", "__row_position"
@@ -98,10 +99,14 @@ def read_files(spark: SparkSession, files: list[DataFile], schema: T.StructType,
 
 
 def _by_format(files: list[DataFile]) -> list[list[DataFile]]:
-    return [[f for f in files if f.format == k] for k in dict.fromkeys(f.format for f in files)]
+    """Files that one scan can read: of one format, and with the same types as they were written in."""
+    kind = lambda f: (f.format, f.written_as)
+    return [[f for f in files if kind(f) == k] for k in dict.fromkeys(kind(f) for f in files)]
 
 
 def _read(spark: SparkSession, files: list[DataFile], schema: T.StructType, located: bool) -> DataFrame:
+    older = dict(files[0].written_as)
+    schema = T.StructType([T.StructField(f.name, to_spark(older[f.name])) if f.name in older else f for f in schema])
     df = Reader.new(spark, files[0].format, schema if files[0].format == "parquet" else None).read(*[f.path for f in files])
     if located:
         # Taken directly from the scan, where the metadata columns belong.
