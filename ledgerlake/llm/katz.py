@@ -122,7 +122,7 @@ def _answer_counts(n: int, to: int, rows: pa.Table) -> pa.Table:
     answer = (2 * total[group] + (speaker[group] == of)).astype(np.uint32)
     summary = np.concatenate([np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)[: KATZ + 2], [total.sum(), (total > 0).sum()]]).astype(np.int64)
     by = {int(p): answer[of == p] for p in np.unique(of)}
-    return P.table((p, to, summary.tobytes(), by[p].tobytes() if p in by else b"") for p in range(n))
+    return P.table((p, to, summary.tobytes(), len(by[p]).to_bytes(4, "little") + P.short(by[p]) if p in by else bytes(4)) for p in range(n))
 
 
 @dataclass
@@ -153,7 +153,7 @@ def _counts(n: int, rows: pa.Table) -> Counts:
     for bucket, k in zip(of, order, strict=True):
         level = int(bucket >= n)
         sums[level] += np.frombuffer(summaries[k], np.int64)
-        got[level].append(np.frombuffer(answers[k], np.uint32))
+        got[level].append(P.unshort(answers[k], int.from_bytes(answers[k][:4], "little"), 4)[0])
     word, pair = (np.concatenate(x).astype(np.int64) for x in got)
     tables = [discounted(x[: KATZ + 2]) for x in sums]
     tokens, distinct = int(sums[0][-2]), int(sums[0][-1])

@@ -61,22 +61,39 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def squeeze(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in as many bytes each as the largest takes."""
+    """Sorted keys as differences, in as many bytes each as the largest takes, less the low bits that are 0 in all."""
     if not len(keys):
         return b""
-    steps = np.concatenate([keys[:1], np.diff(keys)])
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(keys) == 1 else max(1, (int(steps[1:].max()).bit_length() + 7) // 8)
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    used = int(np.bitwise_or.reduce(keys))
+    shift = (used & -used).bit_length() - 1 if used else 0
+    keys = keys >> np.uint64(shift)
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width, shift]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    width = data[0]
-    steps = np.zeros((1 + (len(data) - 9) // width, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    width, shift = data[0], data[1]
+    steps = np.zeros((1 + (len(data) - 10) // width, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 2)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, -1, 10).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(shift)
+
+
+def short(counts: np.ndarray) -> bytes:
+    """Counts that are mostly small: a byte each, and four more for one of 255 or above."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() + counts[small == 255].astype(np.uint32).tobytes()
+
+
+def unshort(data: bytes, n: int, offset: int = 0) -> tuple[np.ndarray, int]:
+    """n counts from an offset on, and the bytes that they take."""
+    out = np.frombuffer(data, np.uint8, n, offset).astype(np.uint32)
+    large = np.flatnonzero(out == 255)
+    out[large] = np.frombuffer(data, np.uint32, len(large), offset + n)
+    return out, n + 4 * len(large)
 
 
 def send(part: int, n: int, keys: np.ndarray, *more: np.ndarray, first: int = 0) -> pa.Table:
@@ -94,7 +111,8 @@ def table(rows: Iterable[tuple[int, int, bytes, bytes]]) -> pa.Table:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    """Arrays one after the other; unsigned 32-bit ones hold counts."""
+    return b"".join(short(x) if x.dtype == np.uint32 else np.ascontiguousarray(x).tobytes() for x in arrays)
 
 
 def received(rows: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
@@ -103,12 +121,17 @@ def received(rows: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
     parsed = [unsqueeze(k) for k in keys]
     sizes = np.array([len(k) for k in parsed], np.int64)
     out = [np.repeat(of, sizes), np.concatenate(parsed) if parsed else np.zeros(0, np.uint64)]
-    offset = np.zeros(len(parsed), np.int64)
-    for kind in kinds:
-        width = np.dtype(kind).itemsize
-        out.append(np.concatenate([np.frombuffer(m, kind, int(n), int(o)) for m, n, o in zip(more, sizes, offset, strict=True)]) if parsed else np.zeros(0, kind))
-        offset = offset + sizes * width
-    return tuple(out)
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    for m, n in zip(more, sizes.tolist(), strict=True):
+        offset = 0
+        for kind, column in zip(kinds, columns, strict=True):
+            if kind is np.uint32:
+                values, width = unshort(m, n, offset)
+            else:
+                values, width = np.frombuffer(m, kind, n, offset), n * np.dtype(kind).itemsize
+            column.append(values)
+            offset += width
+    return (*out, *(np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(columns, kinds, strict=True)))
 
 
 def member(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
