@@ -81,5 +81,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_near_duplicates, op2_byte_bpe, op3_language_id, op4_html_extract, op5_repeated_passages, op6_language_model, op7_benchmark_overlap, op8_personal_data, op9_secret_scan, op10_quality_rules)}
 
 
+#: Windows of 13 words by text, their least doc_id, the words that later documents' windows cover.
+_PASSAGES = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (select doc_id, p, array_to_string(ws[p : p + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from docs where len(ws) > 12)),
+firsts as (select k, min(doc_id) as first from windows group by k),
+gone as (select distinct doc_id, p + o as q from windows join firsts using (k) cross join (select unnest(range(13)) as o) where first < doc_id),
+words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as q from docs),
+kept as (select doc_id, count(gone.q) as n_removed, string_agg(w, ' ' order by q) filter (where gone.q is null) as text from words left join gone using (doc_id, q) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256 from docs left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_repeated_passages": _PASSAGES}
