@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rounds after which something must be wrong: labels travel twice as far with every round.
 MOST_ROUNDS = 100
+#: Rows of a partition of labels or links; fewer make shuffles of many empty files.
+PARTITION_ROWS = 100_000
 
 
 def components(links: DataFrame, lasting: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -18,13 +20,19 @@ def components(links: DataFrame, lasting: Callable[[DataFrame], DataFrame]) -> D
     stay in the table; the driver sees only whether any changed. Nodes with many links are split by
     skew joins, and their messages are combined before the shuffle.
     """
-    both = lasting(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = lasting(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("part")))
+
+    def kept(df: DataFrame) -> DataFrame:
+        df = lasting(df)
+        return df.coalesce(1 + df.count() // PARTITION_ROWS)
+
+    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("part")))
     for _ in range(MOST_ROUNDS):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("part").alias("was"), F.least("part", "heard").alias("part"))
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "part", F.lit(None).cast(labels.schema["part"].dataType).alias("was"))
+        told = labels.select("node", "part", F.col("part").alias("was")).union(heard)
+        nearer = told.groupBy("node").agg(F.min("part").alias("part"), F.max("was").alias("was"))
         jump = labels.select(F.col("node").alias("part"), F.col("part").alias("next"))
-        labels = lasting(nearer.join(jump, "part").select("node", "was", F.least("part", "next").alias("part")))
+        labels = kept(nearer.join(jump, "part").select("node", "was", F.least("part", "next").alias("part")))
         if labels.where("was <> part").isEmpty():
             break
         labels = labels.select("node", "part")

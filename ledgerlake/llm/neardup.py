@@ -9,10 +9,12 @@ most shingles cost one draw.
 
 Signatures are banded. Texts that share a band are compared exactly: all pairs of small buckets; in
 larger ones every text with the bucket's most copied one. Large buckets that still hold several classes after
-that go through an exact prefix filter (rarest shingles first), of which only pairs of different classes
-remain. Verified links are joined to classes. Exact copies are one text from the start.
+that go through a prefix filter (rarest shingles first), of which only pairs of different classes remain.
+Verified links are joined to classes. Exact copies are one text from the start.
 
-Missing a pair at the least similarity S = 0.8 takes all BANDS bands to differ: (1 - 0.8^3)^20 < 1e-6.
+Missing a pair at the least similarity 0.8 takes all but one of the BANDS bands to differ, which happens
+with a probability below 1e-4 (below 1e-9 at 0.9); the prefix filter loses no pair of texts of up to
+SAMPLED shingles, and of longer ones, of which it takes a sample, one in 1e7.
 
 Defined results. One row per input row. Null doc_id, or a text without words (null, empty, white space):
 a class of its own, with class_id = doc_id and class_size = 1. Texts of 1 to 4 words have one shingle, all
@@ -25,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import words as W
@@ -33,9 +35,15 @@ from ledgerlake.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 3
+#: Bands that two texts of small buckets share at least.
+SHARED = 2
 MARKS = BANDS * ROWS
 #: Texts of a bucket, or of a prefix shingle's list, up to which all its pairs are compared.
 SMALL = 12
+#: Shingles of a text beyond which the prefix filter takes a sample, of about so many in the whole text; and the share of them, one in SPARE, that is sure to hold shared ones.
+SAMPLED, SPARE = 2000, 50
+#: Earlier elements that a prefix's element is kept with: texts that share one of them have met there.
+EARLIER = 4
 #: Texts, and shingles of each, from which common shingles are told; that orders the prefix filter, and never decides.
 COMMON_TEXTS, COMMON_SHINGLES = 256, 2048
 
@@ -187,23 +195,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return W.map_batches(both, "a binary, b binary", make)
 
 
-def _all_pairs(lists: str) -> DataFrame:
+def _all_pairs(lists: str) -> Column:
     """Every pair a < b of a short sorted list."""
     return F.flatten(F.transform(lists, lambda x, i: F.transform(F.slice(lists, i + 2, F.size(lists)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs to compare from large and small buckets: (a, b), distinct."""
+    """Pairs to compare: (a, b), distinct. Texts of small buckets must share SHARED bands; those of large ones meet the bucket's first."""
     small = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("fps"))
-    pairs = small.select(F.explode(_all_pairs("fps")).alias("x")).select("x.a", "x.b")
-    stars = buckets.where((F.col("n") > SMALL) & (F.col("fp") != F.col("first"))).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    pairs = small.select(F.explode(_all_pairs("fps")).alias("x")).groupBy("x.a", "x.b").count().where(F.col("count") >= SHARED).select("a", "b")
+    large = buckets.where(F.col("n") > SMALL)
+    first = large.groupBy("key").agg(F.max_by("fp", F.struct("copies", "fp")).alias("first"))
+    stars = large.join(first, "key").where(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.union(stars).distinct()
 
 
 def _prefixes(texts: DataFrame, common: dict[int, int]) -> DataFrame:
-    """(fp, size, keys): the rarest elements of each text, in order, as many as any similar text must share one of.
+    """(fp, size, at, keys): the rarest elements of each text and their places, among which any similar text must share one.
 
     An element is a shingle with its how-manieth occurrence, so that sets of elements overlap as multisets do.
+    Of sets of size n, those that share 80 % of their union lack at most n / 5 of it, so a shared element is
+    among the first n / 5 + 1, and the m-th one they share is m places later at most, in either. Of long texts,
+    elements are sampled by hash: the first n / SPARE that are shared have about SAMPLED / SPARE in the sample.
     """
     ranked = np.array(sorted(common), np.uint64)
     weight = np.array([common[k] for k in sorted(common)], np.int64)
@@ -212,22 +225,26 @@ def _prefixes(texts: DataFrame, common: dict[int, int]) -> DataFrame:
         cache = W.WordHashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, sizes = [], []
+            keys, places, sizes = [], [], []
             for text in W.text_bytes(batch.column("text")):
-                keys, counts = multiset(text, cache)
-                each = _elements(keys, counts)
-                rank = np.zeros(len(each), np.int64)
+                each = _elements(*multiset(text, cache))
+                n = len(each)
+                rank = np.zeros(n, np.int64)
                 if len(ranked):
                     at = np.minimum(np.searchsorted(ranked, each), len(ranked) - 1)
                     rank = np.where(ranked[at] == each, weight[at], 0)
-                n = len(each) - int(np.ceil(SIMILAR * len(each) - 1e-9)) + 1
-                out.append(each[np.lexsort((each, rank))[:n]].view(np.int64))
-                sizes.append(len(each))
-            return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["fp", "size", "keys"])
+                order = np.lexsort((each, rank))[: (n // 5 if n <= SIMILAR * SAMPLED else n // 5 + n // SPARE) + 1]
+                at = np.arange(len(order))
+                if n > SAMPLED:
+                    at = at[(W.mix(each[order]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < SAMPLED / n]
+                keys.append(each[order][at].view(np.int64))
+                places.append(at)
+                sizes.append(n)
+            return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["fp", "size", "at", "keys"])
 
         return step
 
-    return W.map_batches(texts.select("fp", "text"), "fp binary, size long, keys array<long>", make)
+    return W.map_batches(texts.select("fp", "text"), "fp binary, size long, at array<long>, keys array<long>", make)
 
 
 def _elements(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -244,25 +261,33 @@ def _common(texts: DataFrame) -> dict[int, int]:
     return {k: n for k, n in seen.items() if n > 1}
 
 
+def _listed(places: str, keys: str) -> Column:
+    """The elements of a prefix with their places and the few elements before each."""
+    return F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.get(places, i).alias("at"), F.slice(keys, F.greatest(i - EARLIER, F.lit(0)) + 1, F.least(i, F.lit(EARLIER))).alias("before")))
+
+
 def _crossing(buckets: DataFrame, parts: DataFrame, docs: DataFrame, distinct: DataFrame, lasting: Lasting) -> DataFrame | None:
-    """Pairs of different classes that large buckets may still hide; None if every large bucket is one class."""
+    """Pairs of different classes that large buckets may still hide, with their classes; None if every large bucket is one class."""
     large = buckets.where(F.col("n") > SMALL).select("key", "fp").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     mixed = large.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     family = lasting(large.join(mixed, "key").select("fp", "part").distinct())
     if family.isEmpty():
         return None
     texts = lasting(with_texts(docs, family.join(distinct, "fp").select("fp", "doc_id")))
-    listed = _prefixes(texts, _common(texts)).join(family, "fp").select("fp", "part", "size", F.posexplode("keys").alias("at", "k"))
-    listed = lasting(listed)
-    per_class = listed.groupBy("k", "part").count()
-    several = per_class.groupBy("k").agg(F.count("*").alias("classes"), F.max_by("part", "count").alias("main")).where("classes > 1")
-    listed = listed.join(several, "k")
-    one = listed.where(F.col("part") != F.col("main")).select("k", F.col("fp").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"))
-    other = listed.select("k", F.col("fp").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"))
-    # Similar texts of these sizes share at least so many elements, so a shared one comes early enough in both.
+    listed = lasting(_prefixes(texts, _common(texts)).join(family, "fp").select("fp", "part", "size", F.explode(_listed("at", "keys")).alias("x")).select("fp", "part", "size", "x.*"))
+    several = listed.groupBy("k").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("k")
+    listed = lasting(listed.join(several, "k"))
+    main = listed.groupBy("k", "part").count().groupBy("k").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    one = listed.join(main, "k").where(F.col("part") != F.col("main")).select("k", *[F.col(c).alias(f"{c}_a") for c in ("fp", "part", "size", "at", "before")])
+    other = listed.select("k", *[F.col(c).alias(f"{c}_b") for c in ("fp", "part", "size", "at", "before")])
     least = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    met = one.join(other, "k").where((F.col("part_a") != F.col("part_b")) & (F.col("at_a") <= F.col("size_a") - least) & (F.col("at_b") <= F.col("size_b") - least))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least_size = F.least("size_a", "size_b")
+    spare = F.when(F.greatest("size_a", "size_b") > SAMPLED, F.floor(least_size / SPARE)).otherwise(0)
+    near = (least_size >= SIMILAR * F.greatest("size_a", "size_b")) & (F.col("at_a") <= F.col("size_a") - least + spare) & (F.col("at_b") <= F.col("size_b") - least + spare)
+    met = one.join(other, "k").where((F.col("part_a") != F.col("part_b")) & near & ~F.arrays_overlap("before_a", "before_b"))
+    swap = F.col("fp_a") > F.col("fp_b")
+    ends = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(k) for c, x, y, k in (("fp", "a", "b", "a"), ("fp", "b", "a", "b"), ("part", "a", "b", "part_a"), ("part", "b", "a", "part_b"))]
+    return met.select(*ends).distinct()
 
 
 def classes(docs: DataFrame, lasting: Lasting) -> DataFrame:
@@ -270,19 +295,23 @@ def classes(docs: DataFrame, lasting: Lasting) -> DataFrame:
     rows = lasting(signed(docs))
     distinct = lasting(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     keys = distinct.select("fp", "copies", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.max_by("fp", F.struct("copies", "fp")).alias("first")).where("n > 1")
-    buckets = lasting(keys.join(shared, "key").select("key", "fp", "n", "first"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = lasting(keys.join(shared, "key"))
+    known = distinct.select("fp", "doc_id")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        return with_texts(docs, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(known, "fp"))
+
     pairs = lasting(candidates(buckets))
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct.select("fp", "doc_id"), "fp")
-    links = lasting(verified(pairs, with_texts(docs, wanted)))
-    parts = components(links, lasting)
-    rest = _crossing(buckets, parts, docs, distinct.select("fp", "doc_id"), lasting)
+    parts = components(lasting(verified(pairs, texts_of(pairs))), lasting)
+    rest = _crossing(buckets, parts, docs, known, lasting)
     if rest is not None:
         rest = lasting(rest)
-        wanted = rest.select(F.col("a").alias("fp")).union(rest.select("b")).distinct().join(distinct.select("fp", "doc_id"), "fp")
-        more = lasting(verified(rest, with_texts(docs, wanted)))
-        if not more.isEmpty():
-            parts = components(links.union(more), lasting)
+        # The classes are the nodes now: their links are far fewer than the texts'.
+        links = verified(rest.select("a", "b"), texts_of(rest)).join(rest, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+        merged = components(links, lasting).select(F.col("node").alias("part"), F.col("part").alias("whole"))
+        alone = merged.select(F.col("part").alias("node"), "part")
+        parts = parts.union(alone).distinct().join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("part"))
     named = distinct.select("fp", "doc_id", "copies").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     whole = named.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_text = named.select("fp", "part").join(whole, "part").select("fp", "class_id", "class_size")
