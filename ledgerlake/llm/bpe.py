@@ -212,11 +212,8 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def _coder(path: str, pattern: str, held: dict = {}) -> Coder:  # noqa: B006 - one a Python worker, kept between tasks
-    if (path, pattern) not in held:
-        held.clear()
-        held[path, pattern] = Coder(path, pattern)
-    return held[path, pattern]
+def _coder(path: str, pattern: str) -> Coder:
+    return W.kept(("bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -233,7 +230,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public
 
         return step
 
-    return W.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, ids string, decoded binary", make)
+    return W.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, ids string, decoded binary", make, keeps=True)
 
 
 def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -248,7 +245,7 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         return step
 
-    return W.map_batches(coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("string")), "doc_id long, decoded binary", make)
+    return W.map_batches(coded.select(F.col("doc_id").cast("long"), F.col("ids").cast("string")), "doc_id long, decoded binary", make, keeps=True)
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -273,4 +270,4 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         return step
 
-    return W.map_batches(docs, schema, make)
+    return W.map_batches(docs, schema, make, keeps=True)

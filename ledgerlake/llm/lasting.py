@@ -17,6 +17,11 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def lasting(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation."""
+    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation.
+
+    Shuffle files of plans that earlier checkpoints replaced stay on the executors' disks until the driver's
+    heap is collected, which a driver with little to do may put off for long; hence the request.
+    """
     shared_folder(df.sparkSession)
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint()

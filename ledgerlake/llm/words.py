@@ -7,6 +7,9 @@ of offsets, so that windows of every text in a batch are hashed together.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -92,13 +95,38 @@ def flat(held: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.nda
     return cache.of([w for words in held for w in words]), offsets
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]]) -> DataFrame:
+_kept: dict = {}
+
+
+def kept(key: tuple, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, such as a vocabulary; one thing at a time, and gone once another operator runs."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def release() -> None:
+    """Gives a finished task's memory back, which a Python worker would else hold while other operators run in others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]], keeps: bool = False) -> DataFrame:
     """``mapInArrow`` with state: ``make`` runs once a task and returns the function of a batch.
 
-    That function returns a batch, several, or None.
+    That function returns a batch, several, or None. keeps: it uses what ``kept`` holds from earlier tasks.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         step = make()
         for batch in it:
             out = step(batch)
@@ -106,6 +134,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
                 yield out
             elif out is not None:
                 yield from out
+        step = batch = out = None
+        release()
 
     return df.mapInArrow(run, schema)
 
