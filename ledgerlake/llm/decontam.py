@@ -3,8 +3,9 @@
 Words are compared in lower case and without ASCII punctuation. A seed is a fixed mask of word positions,
 some of them ignored; benchmark and training windows with equal hashes at the others are hits, however
 the ignored words differ. Around each hit, text and item are aligned and their words compared one by
-one: the stretch with the best score (a match +1, a substitution -PENALTY) counts as an overlap if it
-has at least MATCHED matching words and a share of AGREEMENT of them match.
+one: a stretch counts as an overlap if at least MATCHED of its words match, and a share of AGREEMENT of
+them. Of an alignment the longest stretch with that share is taken, without substitutions at its ends;
+no stretch with that share has more matching words.
 
 The benchmark's seeds go to the tasks in blocks of at most about BLOCK_WORDS words; documents are passed
 over once a block, so that a task holds a bounded table however large the benchmark is. No document, hit
@@ -29,7 +30,9 @@ from ledgerlake.llm import words as W
 
 #: Fixed masks: 1 is compared, 0 ignored.
 MASKS = ("111011", "1101101", "11001011", "101011001")
-MATCHED, AGREEMENT, PENALTY = 12, 0.8, 3
+MATCHED, AGREEMENT = 12, 0.8
+#: What a substitution costs against a match of 1, so that the sums not below 0 are the stretches that agree.
+SUBSTITUTION = round(AGREEMENT / (1 - AGREEMENT))
 BLOCK_WORDS = 200_000
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -107,19 +110,25 @@ class Seeds:
             yield t, got
 
     def _overlap(self, ids: np.ndarray, first: int, last: int, start: int, i: int) -> Hit | None:
-        """The best stretch of the text ids[first:last] with item i, whose first word aligns with position start."""
+        """The longest stretch that agrees, of the text ids[first:last] with item i, whose first word aligns with position start."""
         item = self.texts[i]
         low, high = max(0, first - start), min(len(item), last - start)
         same = ids[start + low : start + high] == item[low:high]
         if len(item) < MATCHED:
             return (self.items[i], start - first, start - first + len(item), len(item), len(item)) if len(same) == len(item) and same.all() else None
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
+        if np.count_nonzero(same) < MATCHED:
+            return None
+        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))])
         floor = np.minimum.accumulate(score)
-        end = int(np.argmax(score - floor))
-        begin = int(np.argmax(score[: end + 1] == floor[end]))
-        matching, compared = int(same[begin:end].sum()), end - begin
-        if matching < MATCHED or matching < AGREEMENT * compared:
+        begins = np.searchsorted(-floor, -score, "left")
+        end = int(np.argmax(np.arange(len(score)) - begins))
+        begin = int(begins[end])
+        matches = np.flatnonzero(same[begin:end])
+        matching = len(matches)
+        if matching < MATCHED:
             return None
+        begin, end = begin + int(matches[0]), begin + int(matches[-1]) + 1
+        compared = end - begin
         return self.items[i], start + low + begin - first, start + low + end - first, matching, compared
 
 

@@ -1,6 +1,7 @@
 """Operators that handle each document by itself, against plain versions of them."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -173,6 +174,27 @@ def test_substitutions_punctuation_and_case(spark):
     assert [(r.doc_id, r.item_id, r.start_word) for r in decontam.overlaps(short, bench).collect()] == [(9, 4, 1)]
 
 
+def _agreeing(same):
+    """Whether any stretch has MATCHED matching words and a share of AGREEMENT of them, by trying all."""
+    return any((m := sum(same[b:e])) >= 12 and 5 * m >= 4 * (e - b) for b in range(len(same)) for e in range(b + 12, len(same) + 1))
+
+
+def test_overlaps_are_what_the_rule_says():
+    """Items with words replaced, against all stretches: whole items of 15 words, longer ones, and every 4th word."""
+    rng = random.Random(11)
+    cases = [(15, set(c)) for k in (2, 3) for c in itertools.combinations(range(15), k)] + [(40, set(range(o, 40, 4))) for o in range(4)]
+    cases += [(n, set(rng.sample(range(n), rng.randrange(n // 2)))) for n in (12, 13, 20, 30, 60) for _ in range(150)]
+    for n, gone in cases:
+        item = [f"w{k}" for k in range(n)]
+        same = [k not in gone for k in range(n)]
+        text = ["a", "b", *(w if s else f"other{w}" for w, s in zip(item, same, strict=True)), "c"]
+        got = list(decontam.Seeds([(1, " ".join(item))]).overlaps([decontam.tokens(" ".join(text))]))
+        assert bool(got) == _agreeing(same), (n, sorted(gone))
+        for _, (_, begin, end, matching, compared) in got:
+            own = same[begin - 2 : end - 2]
+            assert (sum(own), len(own)) == (matching, compared) and own[0] and own[-1] and matching >= 12 and 5 * matching >= 4 * compared
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     bench, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), documents(spark)
     whole = sorted(map(tuple, decontam.overlaps(docs, bench).collect()))
