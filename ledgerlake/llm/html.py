@@ -42,6 +42,7 @@ _BLOCKS = {
 _CONTAINERS = {"article", "blockquote", "body", "center", "details", "div", "dl", "figure", "html", "main", "ol", "section", "table", "tbody", "td", "tr", "ul"}
 #: What a start tag closes, if it is open inside the nearest of the tags on the right.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_HEAD = {"base", "link", "meta", "title", "noscript", "noframes", "script", "style", "template"}
 #: Words of class, id or role that mark what is not the article.
 _UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|contentinfo|complementary|cookie|cookies|disqus|"
@@ -52,10 +53,10 @@ _UNWANTED = re.compile(
 
 
 class Node:
-    __slots__ = ("kids", "links", "parent", "points", "size", "tag")
+    __slots__ = ("kids", "links", "parent", "points", "size", "tag", "unwanted")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False) -> None:
+        self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.kids: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
@@ -72,36 +73,39 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+def _text(at: Node, text: str) -> Node:
+    """Adds text, which ends an open head; the element that is open then."""
+    if at.tag == "head" and not text.isspace():
+        at = at.parent
+    at.kids.append(text)
+    return at
+
+
 def parse(html: str) -> Node:
-    """The tree of blocks; text, references still undecoded, lies in str children, and \\x00 parts blocks."""
+    """The tree of blocks; text, references still undecoded, lies in str children, and \\x00 parts blocks. Unwanted parts are in it, marked, and end as others do."""
     root = at = Node("html", None)
-    dropped: list[str] = []
     pos, n = 0, len(html)
     lower = ""
     while pos < n:
         m = _TOKEN.search(html, pos)
         if not m:
-            if not dropped:
-                at.kids.append(html[pos:])
+            at = _text(at, html[pos:])
             break
-        if m.start() > pos and not dropped:
-            at.kids.append(html[pos : m.start()])
+        if m.start() > pos:
+            at = _text(at, html[pos : m.start()])
         pos = m.end()
         slash, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if not tag:
             continue
         tag = tag.lower()
         if slash:
-            if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-            elif tag == "br":
+            if tag == "br":
                 at.kids.append("\n")
             else:
                 to = at
                 while to is not None and to.tag != tag:
-                    to = None if to.tag in ("td", "th", "table") and tag not in _BLOCKS else to.parent
+                    inline = tag not in _BLOCKS and tag not in _DROPPED
+                    to = None if inline and (to.tag in ("td", "th", "table") or (to.unwanted and (to.tag in _BLOCKS or to.tag in _DROPPED))) else to.parent
                 if to is not None and to.parent is not None:
                     at = to.parent
             continue
@@ -113,10 +117,13 @@ def parse(html: str) -> Node:
                 break
             pos = html.find(">", end) + 1 or n
             continue
-        if dropped:
-            if not closed:
-                dropped.append(tag)
-            continue
+        if tag == "body":
+            to = at
+            while to is not None and to.tag != "head":
+                to = to.parent
+            at = to.parent if to is not None else at
+        elif at.tag == "head" and tag not in _HEAD and tag != "html":
+            at = at.parent
         if tag in ("body", "html"):
             continue
         if tag in ("br", "hr", "wbr"):
@@ -125,7 +132,7 @@ def parse(html: str) -> Node:
             continue
         if tag in _BLOCKS or tag in _DROPPED:
             to = at
-            while to.parent is not None and to.tag not in _CONTAINERS and to.tag != "p":
+            while to.parent is not None and to.tag not in _CONTAINERS and to.tag not in _DROPPED and to.tag != "p":
                 to = to.parent
             if to.tag == "p" and to.parent is not None:
                 at = to.parent
@@ -133,15 +140,16 @@ def parse(html: str) -> Node:
             own, within = _CLOSES[tag]
             to, found = at, None
             while to.parent is not None and to.tag not in within:
-                found = to if to.tag in own else found
+                if to.tag in own:
+                    found = to
+                elif to.tag in _DROPPED:
+                    break
                 to = to.parent
             if found is not None:
                 at = found.parent
-        if _unwanted(tag, attributes):
-            dropped.append(tag)
+        child = Node(tag, at, _unwanted(tag, attributes))
+        if child.unwanted:
             at.kids.append("\x00" if tag in _BLOCKS or tag in ("header", "footer", "aside", "form", "nav") else "")
-            continue
-        child = Node(tag, at)
         at.kids.append(child)
         at = child
     return root
@@ -152,7 +160,7 @@ def _clean(text: str) -> str:
 
 
 def _walk(root: Node) -> list[tuple[Node, str, bool]]:
-    """(element, "", True) where an element starts, (element, "", False) where it ends, (owner, text, True) for text; in page order."""
+    """(element, "", True) where an element starts, (element, "", False) where it ends, (owner, text, True) for text; in page order, without unwanted parts."""
     out, todo = [], [(root, iter(root.kids))]
     out.append((root, "", True))
     while todo:
@@ -160,7 +168,7 @@ def _walk(root: Node) -> list[tuple[Node, str, bool]]:
         for kid in kids:
             if isinstance(kid, str):
                 out.append((node, kid, True))
-            else:
+            elif not kid.unwanted:
                 out.append((kid, "", True))
                 todo.append((kid, iter(kid.kids)))
                 break

@@ -135,6 +135,18 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><p class='notice'>Old browser<p>Para 1<p>Para 2</div><p>more", "Para 1\n\nPara 2"), ("<ul><li class='share'>x<li>y</ul>z", "y\n\nz"),
+        (f"<table><tr><td class='sidebar'>menu<td><p>{LONG}</table>", LONG.strip()), (f"<article><p>{LONG}<div class='ad'>buy</article>", LONG.strip()), ("<p>a</p><ul><li>b<nav><li>c</nav>d</ul>", "a\n\nb\n\nd"),
+        ("<span><nav>x</span>y</nav>z</span>", "z"), ("<nav><p>x<p>y</nav>z", "z"), ("<form><select><option>a<option>b</select>c</form>d", "d"), ("<head><title>t</title><body><p>a", "a"), ("<head><meta charset=x><p>a", "a"),
+    ],
+)
+def test_unwanted_parts_end_where_others_do(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 20_000 + "x") == "x" and html.main_text("<" * 2000 + "p>") and len(html.main_text("<p>" + "word, " * 100_000)) > 500_000
 
