@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring (operator 4).
 
 The page becomes a tree. Parts that are never article text (scripts, styles, menus, headers, footers,
-sidebars, forms, adverts, notices, reader comments) are left out, by tag, role or class. Each block of
+sidebars, forms, adverts, notices, reader comments) are left out, by tag, role or class. Forms and parts
+left out by a name stay if they hold the page's article or most of its paragraphs. Each block of
 text gives points for its length and its commas to its ancestors, less to farther ones; a container's
 points are discounted by the share of its text that is in links. The best container, widened to the
 article it lies in, and siblings with points near its own are kept.
@@ -26,7 +27,7 @@ from ledgerlake.llm import words as W
 SIBLING = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 #: Content that is not markup up to the closing tag of the same name.
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -43,34 +44,100 @@ _CONTAINERS = {"article", "blockquote", "body", "center", "details", "div", "dl"
 #: What a start tag closes, if it is open inside the nearest of the tags on the right.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _HEAD = {"base", "link", "meta", "title", "noscript", "noframes", "script", "style", "template"}
-#: Words of class, id or role that mark what is not the article.
-_UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|contentinfo|complementary|cookie|cookies|disqus|"
-    r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|"
-    r"sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|toolbar|widget|widgets|alert|dialog)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of class, id or role that mark what is not the article, whatever it belongs to.
+_FOREIGN = set(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr newsletter outbrain pager pagination popup promo promoted "
+    "promotion related replies respond share sharing signup social sponsor sponsored subscribe subscription taboola".split()
 )
+#: Those that mark a part of the page's frame, or of an article if they stand with a word of content.
+_FRAME = set("alert banner complementary contentinfo dialog footer header masthead menu modal nav navbar navigation notice notices search sidebar skip toolbar widget widgets".split())
+_CONTENT = set("article body content entry main post story text".split())
+#: Words that leave the meaning of those beside them as it is.
+_NEUTRAL = set(
+    "area bar block bottom box button buttons container desktop fixed float footer form global group header holder icon icons inner item items label left level link links list ln lower mobile outer page panel primary "
+    "region right row secondary section site slot sticky sub tertiary thread title to top unit upper wrap wrapper zone".split()
+)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+ALWAYS, FOREIGN, FRAME = "always", "foreign", "frame"
 
 
 class Node:
     __slots__ = ("kids", "links", "parent", "points", "size", "tag", "unwanted")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, unwanted: str = "") -> None:
         self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.kids: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _named(names: str) -> str:
+    """FOREIGN or FRAME if a whole name among the class, id or role ``names`` marks an unwanted part, or an empty string."""
+    kind, content = "", False
+    for name in names.split():
+        words = {w for part in re.split(r"[_-]+", _HUMP.sub("-", name).lower()) if (w := part.rstrip("0123456789"))}
+        if words & _FOREIGN and words <= _FOREIGN | _FRAME | _NEUTRAL | _CONTENT:
+            return FOREIGN
+        if words & _FRAME and words <= _FRAME | _NEUTRAL:
+            kind = FRAME
+        elif words and words <= _CONTENT | _NEUTRAL and words & _CONTENT:
+            content = True
+    return "" if content else kind
+
+
+def _unwanted(tag: str, attributes: str) -> str:
+    """Why an element is left out: ALWAYS, FOREIGN, FRAME, or an empty string if it is not."""
     if tag in _DROPPED:
-        return True
+        return FRAME if tag == "form" else ALWAYS
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    held: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name in ("class", "id", "role") and _UNWANTED.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
-            return True
-    return False
+        held.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    if "hidden" in held or held.get("aria-hidden", "").strip().lower() == "true":
+        return ALWAYS
+    return _named(" ".join(held[k] for k in ("class", "id", "role") if k in held))
+
+
+def _points(text: str) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) if len(text) >= 25 else 0.2
+
+
+def _rescue(root: Node) -> None:
+    """Unless an article or main lies outside unwanted parts: takes the mark from those that hold one, or over
+    half of the paragraphs' points. What is FOREIGN has to hold all paragraphs of the page."""
+    points: dict[int, float] = {}
+    articles: dict[int, bool] = {}
+    marked: dict[int, Node] = {}
+    total = free = 0.0
+    outside = False
+    todo: list[tuple[Node, tuple[Node, ...], bool]] = [(root, (), False)]
+    while todo:
+        node, within, linked = todo.pop()
+        if node.unwanted == ALWAYS:
+            continue
+        if node.unwanted:
+            within = (*within, node)
+            marked[id(node)] = node
+        if node.tag in ("article", "main"):
+            outside = outside or not within
+            for n in within:
+                articles[id(n)] = True
+        linked = linked or node.tag == "a"
+        for kid in node.kids:
+            if not isinstance(kid, str):
+                todo.append((kid, within, linked))
+            elif not linked and len(kid := kid.strip()) >= 25:
+                got = _points(kid)
+                total += got
+                free += 0 if within else got
+                for n in within:
+                    points[id(n)] = points.get(id(n), 0) + got
+    for k, node in marked.items():
+        own = points.get(k, 0)
+        if not outside and ((own and not free and own == total) if node.unwanted == FOREIGN else (own > total / 2 or k in articles)):
+            node.unwanted = ""
 
 
 def _text(at: Node, text: str) -> Node:
@@ -85,7 +152,7 @@ def parse(html: str) -> Node:
     """The tree of blocks; text, references still undecoded, lies in str children, and \\x00 parts blocks. Unwanted parts are in it, marked, and end as others do."""
     root = at = Node("html", None)
     pos, n = 0, len(html)
-    lower = ""
+    lower, some = "", False
     while pos < n:
         m = _TOKEN.search(html, pos)
         if not m:
@@ -148,10 +215,13 @@ def parse(html: str) -> Node:
             if found is not None:
                 at = found.parent
         child = Node(tag, at, _unwanted(tag, attributes))
+        some = some or child.unwanted in (FOREIGN, FRAME)
         if child.unwanted:
             at.kids.append("\x00" if tag in _BLOCKS or tag in ("header", "footer", "aside", "form", "nav") else "")
         at.kids.append(child)
         at = child
+    if some:
+        _rescue(root)
     return root
 
 
@@ -222,7 +292,7 @@ def main_text(html: str | None) -> str:
         return ""
     scored: dict[int, Node] = {}
     for owner, text, links in found:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) if len(text) >= 25 else 0.2
+        points = _points(text)
         node, level = owner, 0
         while node is not None:
             if node.tag in _CONTAINERS:

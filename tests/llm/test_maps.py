@@ -147,6 +147,22 @@ def test_unwanted_parts_end_where_others_do(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<div {a}><p>{LONG}</p></div>" for a in ("style='overflow:hidden'", "title='The Hidden Bay'", "data-hidden=false", "data-id=ad", "class='has-sidebar content'", "class=with-comments", "class='article-header'", "class='search-results'")),
+        f"<p>{LONG}<a href='/hidden-bay'></a></p>", f"<form class=page-wrapper><p>{LONG}</p><div class=comments><p>{LONG * 3}</p></div></form>", f"<div class=sidebar><article><p>{LONG}</p></article></div><div class=nav><p>menu</p></div>",
+        f"<div class=newsletter><p>{LONG}</p></div>", f"<div id=content><p>{LONG}</p></div><div class='site-footer'><p>{LONG}</p></div><div id=postComments><p>{LONG}</p></div><div class=ad-slot-1><p>{LONG}</p></div>",
+    ],
+)
+def test_names_leave_out_nothing_else(page):
+    assert html.main_text(page) == LONG.strip()
+
+
+def test_links_and_ids_are_not_attributes_of_others():
+    assert html.main_text(f"<p>See <a href='/hidden-bay'>the bay</a> and <a href='/x?id=ad'>this</a>, {LONG}</p>") == f"See the bay and this, {LONG.strip()}"
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 20_000 + "x") == "x" and html.main_text("<" * 2000 + "p>") and len(html.main_text("<p>" + "word, " * 100_000)) > 500_000
 
