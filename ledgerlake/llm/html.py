@@ -5,7 +5,8 @@ sidebars, forms, adverts, notices, reader comments) are left out, by tag, role o
 left out by a name stay if they hold the page's article or most of its paragraphs. Each block of
 text gives points for its length and its commas to its ancestors, less to farther ones; a container's
 points are discounted by the share of its text that is in links. The best container, widened to the
-article it lies in, and siblings with points near its own are kept.
+article it lies in, and siblings with points near its own are kept; so are blocks beside it that read as
+prose (long, or of whole sentences, and few links), and headings right before what is kept.
 
 Defined results. Null, empty or tagless html: the text outside markup as blocks, or an empty text.
 Unclosed and stray tags: closed where HTML closes them, or ignored. Ties: the container that starts
@@ -25,6 +26,8 @@ from ledgerlake.llm import words as W
 
 #: Points of a sibling, as a share of the best container's, that keep it.
 SIBLING = 0.25
+#: Characters from which on a block beside the best container is prose without a sentence's end or commas.
+PROSE = 80
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -43,6 +46,7 @@ _BLOCKS = {
 _CONTAINERS = {"article", "blockquote", "body", "center", "details", "div", "dl", "figure", "html", "main", "ol", "section", "table", "tbody", "td", "tr", "ul"}
 #: What a start tag closes, if it is open inside the nearest of the tags on the right.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _HEAD = {"base", "link", "meta", "title", "noscript", "noframes", "script", "style", "template"}
 #: Words of class, id or role that mark what is not the article, whatever it belongs to.
 _FOREIGN = set(
@@ -57,6 +61,7 @@ _NEUTRAL = set(
     "area bar block bottom box button buttons container desktop fixed float footer form global group header holder icon icons inner item items label left level link links list ln lower mobile outer page panel primary "
     "region right row secondary section site slot sticky sub tertiary thread title to top unit upper wrap wrapper zone".split()
 )
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*$")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -248,18 +253,18 @@ def _walk(root: Node) -> list[tuple[Node, str, bool]]:
     return out
 
 
-def blocks(root: Node) -> list[tuple[Node, str, int]]:
-    """(nearest container, text, characters in links) of each block, in page order."""
-    found: list[tuple[Node, str, int]] = []
+def blocks(root: Node) -> list[tuple[Node, str, int, bool]]:
+    """(nearest container, text, characters in links, whether it is a heading) of each block, in page order."""
+    found: list[tuple[Node, str, int, bool]] = []
     text: list[str] = []
     linked: list[str] = []
     depth = 0
     owners = [root]
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         if text:
             if whole := _clean("".join(text)):
-                found.append((owners[-1], whole, len(_clean("".join(linked)))))
+                found.append((owners[-1], whole, len(_clean("".join(linked))), heading))
             text.clear()
             linked.clear()
 
@@ -275,13 +280,18 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
         elif node.tag == "a":
             depth += 1 if opens else -1
         elif node.tag in _BLOCKS:
-            flush()
+            flush(not opens and node.tag in _HEADINGS)
             if node.tag in _CONTAINERS and node is not root:
                 owners.append(node) if opens else owners.pop()
     flush()
     return found
 
 
+def _prose(text: str, links: int) -> bool:
+    """Whether a block beside the best container belongs to the article."""
+    return links < 0.3 * len(text) and (len(text) >= PROSE or (len(text) >= 25 and "," in text) or (not links and _SENTENCE.search(text) is not None))
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     if not html:
@@ -291,7 +301,7 @@ def main_text(html: str | None) -> str:
     if not found:
         return ""
     scored: dict[int, Node] = {}
-    for owner, text, links in found:
+    for owner, text, links, _ in found:
         points = _points(text)
         node, level = owner, 0
         while node is not None:
@@ -313,14 +323,17 @@ def main_text(html: str | None) -> str:
         for kid in centre.parent.kids:
             if isinstance(kid, Node) and kid is not centre and id(kid) in scored and worth(kid) >= SIBLING * worth(best) and kid.links < 0.3 * kid.size:
                 keep.add(id(kid))
-    out = []
-    for owner, text, _ in found:
+    out: list[str] = []
+    after = False
+    for owner, text, links, heading in reversed(found):
         node = owner
         while node is not None and id(node) not in keep:
             node = node.parent
-        if node is not None:
+        beside = centre.parent is not None and owner is centre.parent
+        after = node is not None or (beside and (after if heading else _prose(text, links)))
+        if after:
             out.append(text)
-    return "\n\n".join(out)
+    return "\n\n".join(reversed(out))
 
 
 def extract(pages: DataFrame) -> DataFrame:

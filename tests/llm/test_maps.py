@@ -163,6 +163,18 @@ def test_links_and_ids_are_not_attributes_of_others():
     assert html.main_text(f"<p>See <a href='/hidden-bay'>the bay</a> and <a href='/x?id=ad'>this</a>, {LONG}</p>") == f"See the bay and this, {LONG.strip()}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><h1>Title</h1><p>{LONG}</p><div>{f'<p>{LONG}</p>' * 6}</div><p>The end.</p></body>", f"Title|{LONG}|{f'{LONG}|' * 6}The end."),
+        (f"<pre>{LONG}</pre><div>{f'<p>{LONG}</p>' * 6}</div>{LONG}<p><a href=x>{LONG}</a></p><p>Menu</p>", f"{LONG}|{f'{LONG}|' * 6}{LONG}"),
+        (f"<h1>Site</h1><p>Menu</p><h2>Part</h2><h3>Title</h3><div>{f'<p>{LONG}</p>' * 2}</div><h2>More</h2><p>Links</p>", f"Part|Title|{LONG}|{LONG}"),
+    ],
+)
+def test_blocks_beside_the_best_container(page, text):
+    assert html.main_text(page) == "\n\n".join(x.strip() for x in text.split("|"))
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 20_000 + "x") == "x" and html.main_text("<" * 2000 + "p>") and len(html.main_text("<p>" + "word, " * 100_000)) > 500_000
 
