@@ -4,8 +4,9 @@ Each language has a raw-content zstandard dictionary of training text. A text is
 every dictionary; the language whose dictionary leaves the fewest bytes is predicted. Where the margin
 over the next one is narrow, the prediction stands but ``accepted`` is false.
 
-Training uses a bounded sample: about SAMPLE_ROWS rows a language, chosen by hash of the text, each
-of at most SAMPLE_CHARS characters in the dictionary. Texts to be classified are taken whole, in blocks.
+Training uses a bounded sample: SAMPLE_ROWS different texts a language, or all if it has fewer, chosen by
+hash of the text, each of at most SAMPLE_CHARS characters, in PARTS spread over it. A dictionary's size
+depends on its own language only. Texts to be classified are taken whole, in blocks.
 
 Defined results. Null text, or one without a letter: ``und``, score 0, not accepted. Ties: the language
 first in alphabetical order. No training rows: ``und`` everywhere. Null doc_id: held_out is null and the
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import words as W
 
-SAMPLE_ROWS, SAMPLE_CHARS = 256, 1024
+SAMPLE_ROWS, SAMPLE_CHARS, PARTS = 256, 1024, 4
 #: Bytes of a language's dictionary; bytes compressed at once, so that every part of a text meets it.
 DICTIONARY, BLOCK = 240_000, 4096
 #: Levels whose sizes are added up for a text of one block, which a few bytes decide; longer ones take the first.
@@ -43,18 +44,25 @@ def normal(text: str) -> bytes:
 def learn(docs: DataFrame, trains: Column) -> dict[str, bytes]:
     """Dictionary text by language, from a bounded sample of the rows for which ``trains`` holds."""
     rows = docs.where(trains & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    key = F.xxhash64("text")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not counts:
         return {}
-    key = F.xxhash64("text")
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 4 * SAMPLE_ROWS / n))) for k, n in sorted(counts.items())])
-    few = rows.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) <= share * 1_000_003).select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 4 * SAMPLE_ROWS / max(1, n)))) for k, n in sorted(counts.items())])
+    few = rows.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) <= share * 1_000_003).select("lang", "k", _spread(F.col("text")).alias("text")).distinct()
     best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text"))).where(F.col("n") <= SAMPLE_ROWS)
-    held: dict[str, list[bytes]] = {}
+    held: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in best.orderBy("lang", "n").collect():
-        held.setdefault(r.lang, []).append(normal(r.text))
-    size = min(DICTIONARY, min(sum(map(len, v)) for v in held.values()) or 1)
-    return {k: b" ".join(v)[:max(size, 64)] for k, v in sorted(held.items())}
+        if letters := normal(r.text):
+            held[r.lang].append(letters)
+    return {k: b" ".join(v)[:DICTIONARY] for k, v in sorted(held.items())}
+
+
+def _spread(text: Column) -> Column:
+    """The text, or of a longer one SAMPLE_CHARS characters in PARTS from its start to its end."""
+    size = SAMPLE_CHARS // PARTS
+    parts = [F.substr(text, (F.lit(1) + F.floor((F.length(text) - size) * j / (PARTS - 1))).cast("int"), F.lit(size)) for j in range(PARTS)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:

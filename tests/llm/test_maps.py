@@ -101,6 +101,21 @@ def test_language_of_edge_cases(edge, empty):
     assert {r.lang_pred for r in langid.predict(edge, {}).collect()} == {"und"} and langid.predict(empty, known).count() == 0
 
 
+def test_a_language_learns_whatever_the_others_have(spark):
+    """A rare language shrinks no other's dictionary, copies hide no text, and a long text is seen to its end."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    many = [("aa", " ".join(word() for _ in range(100))) for _ in range(300)]
+    copies = [("bb", "copied " * 20)] * 3000 + [("bb", f"single {w}") for w in ("uno", "dos", "tres", "cuatro", "cinco")]
+    docs = spark.createDataFrame([*many, *copies, ("cc", "x"), ("dd", "12345"), ("ee", "start " + "middle " * 2000 + "finish")], "lang string, text string")
+    known = langid.learn(docs, F.lit(True))
+    assert list(known) == ["aa", "bb", "cc", "dd", "ee"] and len(known["aa"]) > 100_000 and known["cc"] == b"x" and known["dd"] == b""
+    assert all(f"single {w}".encode() in known["bb"] for w in ("uno", "dos", "tres", "cuatro", "cinco")) and known["bb"].count(b"copied") == 20
+    assert known["ee"].startswith(b"start") and known["ee"].endswith(b"finish") and langid.Classifier(known)(many[0][1])[0] == "aa"
+
+
 # 4: pages
 
 
