@@ -1,8 +1,9 @@
 """Quality rules (operator 10): rule statistics, an isolation forest over them, a calibrated threshold.
 
-Each text gives counts (``STATS``). From them come a fixed rule (``base_failed``) and the features of
-an isolation forest: random splits isolate odd documents after few steps, so short mean path lengths
-mark anomalies. The forest is grown on a bounded sample of documents (``SAMPLE``, by hash of the text);
+Each text gives counts (``STATS``). From them come a fixed rule (``base_failed``) and, as ratios, the
+features of an isolation forest (``FEATURES``). The forest sees how far each lies outside the range of the
+labelled good documents, as odd and harmless values would hide the harmful ones: random splits isolate odd documents after few steps, so short mean path lengths
+mark anomalies. The forest is grown on a bounded sample of documents (``SAMPLE``, different ones, by hash of the text);
 its threshold is calibrated on all labelled rows, through a histogram of scores by label.
 
 Defined results. Null or empty text: all counts 0, base_failed true, kept false. Repeated rows, ties
@@ -30,9 +31,9 @@ GOOD_LOST = 0.005
 BINS = 1000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-FEATURES = ("symbol_share", "shout_share", "mark_share")
-#: Shares are told apart in steps of one in so many: a stray mark is no anomaly.
-STEPS = 50
+FEATURES = ("word_length", "dup_line_share", "repeat_word_share", "symbol_share", "shout_share", "mark_share", "log_words")
+#: Share of the labelled good documents, at each end of a feature, beyond what counts as ordinary.
+EDGE = 0.0005
 _OUT = f"doc_id long, {STATS}, x array<float>, sample_key long"
 
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -77,7 +78,7 @@ def repeated_words(hashes: np.ndarray, offsets: np.ndarray, n: int = 3) -> np.nd
 def _stats(batch: pa.RecordBatch, cache: W.WordHashes) -> pa.RecordBatch:
     texts = W.text_bytes(batch.column("text"))
     rows = len(texts)
-    counts = {k: np.zeros(rows) for k in (*_CLASSES, "shout", "words", "repeat", "dup")}
+    counts = {k: np.zeros(rows) for k in (*_CLASSES, "shout", "words", "repeat", "dup", "lines")}
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -88,14 +89,17 @@ def _stats(batch: pa.RecordBatch, cache: W.WordHashes) -> pa.RecordBatch:
         upper = _UPPER[held]
         counts["shout"][i] = (upper[1:] & upper[:-1]).sum()
         lines = [x for x in text.split(b"\n") if x.strip()]
+        counts["lines"][i] = len(lines)
         counts["dup"][i] = len(lines) - len(set(lines))
     for first, held in W.batches(texts):
         hashes, offsets = W.flat(held, cache)
         here = slice(first, first + len(held))
         counts["words"][here] = np.diff(offsets)
         counts["repeat"][here] = repeated_words(hashes, offsets)
-    chars = np.maximum(counts["points"], 1)
-    x = np.floor(np.stack([counts["symbols"], counts["shout"], counts["marks"]], axis=1) / chars[:, None] * STEPS).astype(np.float32) / STEPS
+    chars, words, lines = (np.maximum(counts[k], 1) for k in ("points", "words", "lines"))
+    x = np.stack(
+        [counts["points"] / words, counts["dup"] / lines, counts["repeat"] / words, counts["symbols"] / chars, counts["shout"] / chars, counts["marks"] / chars, np.log1p(counts["words"])], axis=1
+    ).astype(np.float32)
     whole = lambda k: pa.array(counts[k].astype(np.int64))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
     return pa.RecordBatch.from_arrays(
@@ -127,9 +131,11 @@ class Forest:
     left: np.ndarray
     length: np.ndarray
     norm: float
+    span: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 to the power of minus the mean path length over its expectation; towards 1 for odd rows."""
+        x = _beyond(x, self.span)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for t in range(len(self.feature)):
@@ -150,7 +156,13 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7) -> Forest:
+def _beyond(x: np.ndarray, span: np.ndarray | None) -> np.ndarray:
+    """How far each feature lies outside its range in ``span``, with its sign; x itself without one."""
+    return x if span is None else (np.maximum(x - span[1], 0) - np.maximum(span[0] - x, 0)).astype(np.float32)
+
+
+def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7, span: np.ndarray | None = None) -> Forest:
+    x = _beyond(x, span)
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
@@ -175,19 +187,29 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int
             feature[t, at], value[t, at], left[t, at] = f, v, free
             todo += [(free, own[~right], level + 1), (free + 1, own[right], level + 1)]
             free += 2
-    return Forest(feature, value, left, length, max(_expected(sample), 1e-9))
+    return Forest(feature, value, left, length, max(_expected(sample), 1e-9), span)
+
+
+def _quality(labels: DataFrame) -> DataFrame:
+    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    return own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
 
+def ordinary(stats: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """Low and high ends of each feature among the labelled good documents that pass the fixed rule; None if there are none."""
+    good = stats.where(~base_failed()).join(_quality(labels).where("quality <> 0"), "doc_id")
+    ends = good.agg(*[F.percentile_approx(F.col("x")[k], [EDGE, 1 - EDGE], 100_000).alias(name) for k, name in enumerate(FEATURES)]).first()
+    return None if ends[0] is None else np.array(list(ends), np.float32).T
 
-def fit(stats: DataFrame) -> Forest | None:
+
+def fit(stats: DataFrame, labels: DataFrame) -> Forest | None:
     """A forest over a bounded sample of the documents that pass the fixed rule; None if there are none."""
     passing = stats.where(~base_failed())
-    n = passing.count()
-    if not n:
-        return None
-    share = min(1.0, 2 * SAMPLE / n)
+    n = passing.agg(F.approx_count_distinct("sample_key").alias("n")).first().n
+    share = min(1.0, 2 * SAMPLE / max(1, n))
     picked = passing.where(F.pmod(F.xxhash64("sample_key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else passing
-    rows = picked.select("x", "sample_key").orderBy("sample_key", "x").limit(SAMPLE).collect()
-    return grow(np.array([r.x for r in rows], np.float32))
+    rows = picked.select("x", "sample_key").distinct().orderBy("sample_key", "x").limit(SAMPLE).collect()
+    return grow(np.array([r.x for r in rows], np.float32), span=ordinary(stats, labels)) if rows else None
 
 
 def scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
@@ -211,10 +233,8 @@ def threshold(scores: DataFrame, labels: DataFrame, good_lost: float = GOOD_LOST
 
     All labelled rows count; what reaches the driver is a histogram of at most 2 * BINS rows.
     """
-    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     bins = (
-        scores.where(~base_failed()).join(own, "doc_id")
+        scores.where(~base_failed()).join(_quality(labels), "doc_id")
         .groupBy(F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).alias("bin"), "quality").count().collect()
     )
     good, bad = np.zeros(BINS), np.zeros(BINS)
@@ -230,7 +250,7 @@ def threshold(scores: DataFrame, labels: DataFrame, good_lost: float = GOOD_LOST
 def _fitted(docs: DataFrame, labels: DataFrame, lasting) -> tuple[DataFrame, Forest | None, float]:
     """(statistics, forest, threshold). ``lasting`` cuts the lineage: the statistics are used several times."""
     stats = lasting(statistics(docs))
-    forest = fit(stats)
+    forest = fit(stats, labels)
     return stats, forest, threshold(scored(stats, forest), labels)
 
 

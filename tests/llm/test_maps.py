@@ -400,6 +400,22 @@ def test_op10(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_the_forest_sees_the_rule_statistics(spark, lasting):
+    """Odd in word length or repeated words only, among clean texts: rejected if labels call their like bad."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    odd = [
+        lambda: " ".join(word() + "x" * 400 for _ in range(80)),
+        lambda: " ".join(words(60) + ["one more time"] * 15),
+    ]
+    texts = [" ".join(words(rng.randrange(80, 300))) for _ in range(900)] + [make() for make in odd for _ in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 900)) for i in range(len(texts)) if i % 2], "doc_id long, quality int")
+    rows = quality.judge(docs, labels, lasting).collect()
+    assert not any(r.base_failed for r in rows) and sum(r.kept for r in rows if r.doc_id < 900) >= 890 and not any(r.kept for r in rows if r.doc_id >= 900)
+
+
 def test_quality_of_edge_cases(spark, edge, empty, lasting):
     labels = spark.createDataFrame([(6, 1, 0), (13, 0, 0), (6, 0, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judge(edge, labels, lasting).collect()
