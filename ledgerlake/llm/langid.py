@@ -4,20 +4,26 @@ Each language has a raw-content zstandard dictionary of training text. A text is
 every dictionary; the language whose dictionary leaves the fewest bytes is predicted. Where the margin
 over the next one is narrow, the prediction stands but ``accepted`` is false.
 
-Training uses a bounded sample: SAMPLE_ROWS different texts a language, or all if it has fewer, chosen by
-hash of the text, each of at most SAMPLE_CHARS characters, in PARTS spread over it. A dictionary's size
-depends on its own language only. Texts to be classified are taken whole, in blocks.
-
-Defined results. Null text, or one without a letter: ``und``, score 0, not accepted. Ties: the language
-first in alphabetical order. No training rows: ``und`` everywhere. Null doc_id: held_out is null and the
-row is not learnt from. Repeated rows: one result each. Columns but doc_id, text and lang are not read.
+Training uses a bounded sample of labelled rows: SAMPLE_ROWS different texts a language, or all if it has
+fewer, chosen by hash of the text. Each is taken whole: its letters are cut into pieces of PIECE bytes, and
+of all pieces of a language's texts as many as fill its dictionary are chosen by hash, wherever in a text
+they lie. A dictionary's size depends on its own language only. Texts to be classified are taken whole, in
+blocks, by one rule whatever their length.
+
+Defined results. Null text, or one without a letter (numerals such as ½ are none): ``und``, score 0, not
+accepted. Ties: the language first in alphabetical order. No training rows: ``und`` everywhere. Null
+doc_id: held_out is null and the row is not learnt from. Repeated rows: one result each. Columns but
+doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -25,15 +31,18 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import words as W
 
-SAMPLE_ROWS, SAMPLE_CHARS, PARTS = 256, 1024, 4
+#: Texts that a language learns from, and bytes of the pieces that these are cut into.
+SAMPLE_ROWS, PIECE = 256, 1024
 #: Bytes of a language's dictionary; bytes compressed at once, so that every part of a text meets it.
 DICTIONARY, BLOCK = 240_000, 4096
-#: Levels whose sizes are added up for a text of one block, which a few bytes decide; longer ones take the first.
+#: Levels whose sizes are added up, as a few bytes decide on a short text.
 LEVELS = (3, 6)
 #: Least relative saving over the next language.
 MARGIN = 0.02
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals that are neither letters nor decimal digits, which the two classes below leave.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def normal(text: str) -> bytes:
@@ -49,20 +58,28 @@ def learn(docs: DataFrame, trains: Column) -> dict[str, bytes]:
     if not counts:
         return {}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 4 * SAMPLE_ROWS / max(1, n)))) for k, n in sorted(counts.items())])
-    few = rows.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) <= share * 1_000_003).select("lang", "k", _spread(F.col("text")).alias("text")).distinct()
+    few = rows.withColumn("k", key).where(F.pmod("k", F.lit(1_000_003)) <= share * 1_000_003).distinct()
     best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text"))).where(F.col("n") <= SAMPLE_ROWS)
+    pieces = W.map_batches(best.select("lang", "text"), "lang string, k long, piece binary", _cut)
+    fit = pieces.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "piece"))).where(F.col("n") <= DICTIONARY // PIECE)
     held: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in best.orderBy("lang", "n").collect():
-        if letters := normal(r.text):
-            held[r.lang].append(letters)
-    return {k: b" ".join(v)[:DICTIONARY] for k, v in sorted(held.items())}
+    for r in fit.orderBy("lang", "n").collect():
+        held[r.lang].append(bytes(r.piece))
+    return {k: b" ".join(v) for k, v in sorted(held.items())}
+
+
+def _cut():
+    """Pieces of whole texts, with a hash that says which are taken."""
 
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            letters = normal(text)
+            rows += [(lang, letters[i : i + PIECE - 1]) for i in range(0, len(letters), PIECE - 1)]
+        keys = [xxhash.xxh3_64_intdigest(piece) >> 1 for _, piece in rows]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array(keys, pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["lang", "k", "piece"])
 
-def _spread(text: Column) -> Column:
-    """The text, or of a longer one SAMPLE_CHARS characters in PARTS from its start to its end."""
-    size = SAMPLE_CHARS // PARTS
-    parts = [F.substr(text, (F.lit(1) + F.floor((F.length(text) - size) * j / (PARTS - 1))).cast("int"), F.lit(size)) for j in range(PARTS)]
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+    return step
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -84,8 +101,7 @@ class Classifier:
         if not letters or not self.by:
             return "und", 0.0, False
         blocks = [letters[i : i + BLOCK] for i in range(0, len(letters), BLOCK)]
-        levels = len(LEVELS) if len(blocks) == 1 else 1
-        sizes = sorted((sum(len(c.compress(b)) for c in own[:levels] for b in blocks), lang) for lang, own in self.by.items())
+        sizes = sorted((sum(len(c.compress(b)) for c in own for b in blocks), lang) for lang, own in self.by.items())
         if len(sizes) == 1:
             return sizes[0][1], 1.0, True
         saved = 1 - sizes[0][0] / sizes[1][0]
