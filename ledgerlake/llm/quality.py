@@ -1,10 +1,13 @@
 """Quality rules (operator 10): rule statistics, an isolation forest over them, a calibrated threshold.
 
 Each text gives counts (``STATS``). From them come a fixed rule (``base_failed``) and, as ratios, the
-features of an isolation forest (``FEATURES``). The forest sees how far each lies outside the range of the
-labelled good documents, as odd and harmless values would hide the harmful ones: random splits isolate odd documents after few steps, so short mean path lengths
-mark anomalies. The forest is grown on a bounded sample of documents (``SAMPLE``, different ones, by hash of the text);
-its threshold is calibrated on all labelled rows, through a histogram of scores by label.
+features of an isolation forest (``FEATURES``): random splits isolate odd documents after few steps, so
+short mean path lengths mark anomalies. Many oddities are harmless (a long text, a short line twice), so a
+split's feature is drawn with a weight: how far labelled good and bad documents differ in it (the largest
+gap between their distribution functions, LEAST_WEIGHT at least, and 1 for all without both labels). No
+feature is cut or floored. The forest is grown on a bounded sample of documents (``SAMPLE``, different
+ones, by hash of the text); weights and threshold come from all labelled rows, through quantiles and a
+histogram of scores by label.
 
 Defined results. Null or empty text: all counts 0, base_failed true, kept false. Repeated rows, ties
 and repeated doc_ids: one result a row. No rows: no rows. No labelled rows: the threshold is 1, so the
@@ -32,8 +35,8 @@ BINS = 1000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 FEATURES = ("word_length", "dup_line_share", "repeat_word_share", "symbol_share", "shout_share", "mark_share", "log_words")
-#: Share of the labelled good documents, at each end of a feature, beyond what counts as ordinary.
-EDGE = 0.0005
+#: Weight of a feature in which labelled good and bad documents do not differ; quantiles by which they are compared.
+LEAST_WEIGHT, QUANTILES = 0.02, 200
 _OUT = f"doc_id long, {STATS}, x array<float>, sample_key long"
 
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -131,11 +134,9 @@ class Forest:
     left: np.ndarray
     length: np.ndarray
     norm: float
-    span: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 to the power of minus the mean path length over its expectation; towards 1 for odd rows."""
-        x = _beyond(x, self.span)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for t in range(len(self.feature)):
@@ -156,13 +157,9 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def _beyond(x: np.ndarray, span: np.ndarray | None) -> np.ndarray:
-    """How far each feature lies outside its range in ``span``, with its sign; x itself without one."""
-    return x if span is None else (np.maximum(x - span[1], 0) - np.maximum(span[0] - x, 0)).astype(np.float32)
-
-
-def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7, span: np.ndarray | None = None) -> Forest:
-    x = _beyond(x, span)
+def grow(x: np.ndarray, weights: np.ndarray | None = None, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7) -> Forest:
+    """weights: how often a feature is split, against the others that vary; None: all alike."""
+    weights = np.ones(x.shape[1]) if weights is None else weights
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
@@ -178,7 +175,7 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int
             if level == depth or len(own) < 2 or not len(spread):
                 length[t, at] = level + _expected(len(own))
                 continue
-            f = rng.choice(spread)
+            f = rng.choice(spread, p=weights[spread] / weights[spread].sum())
             v = np.float32(rng.uniform(low[f], high[f]))
             right = own[:, f] >= v
             if right.all() or not right.any():
@@ -187,7 +184,7 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int
             feature[t, at], value[t, at], left[t, at] = f, v, free
             todo += [(free, own[~right], level + 1), (free + 1, own[right], level + 1)]
             free += 2
-    return Forest(feature, value, left, length, max(_expected(sample), 1e-9), span)
+    return Forest(feature, value, left, length, max(_expected(sample), 1e-9))
 
 
 def _quality(labels: DataFrame) -> DataFrame:
@@ -195,11 +192,17 @@ def _quality(labels: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
-def ordinary(stats: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """Low and high ends of each feature among the labelled good documents that pass the fixed rule; None if there are none."""
-    good = stats.where(~base_failed()).join(_quality(labels).where("quality <> 0"), "doc_id")
-    ends = good.agg(*[F.percentile_approx(F.col("x")[k], [EDGE, 1 - EDGE], 100_000).alias(name) for k, name in enumerate(FEATURES)]).first()
-    return None if ends[0] is None else np.array(list(ends), np.float32).T
+def separation(stats: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """By feature, the largest gap between the distribution functions of labelled good and bad documents that
+    pass the fixed rule; None unless there are both. The driver gets two rows of quantiles."""
+    known = stats.where(~base_failed()).join(_quality(labels).select("doc_id", (F.col("quality") != 0).alias("good")), "doc_id")
+    shares = [k / QUANTILES for k in range(QUANTILES + 1)]
+    rows = known.groupBy("good").agg(*[F.percentile_approx(F.col("x")[k], shares, 50 * QUANTILES).alias(name) for k, name in enumerate(FEATURES)]).collect()
+    if len(rows) < 2:
+        return None
+    one, other = (np.sort(np.array(r[1:], np.float64), axis=1) for r in rows)
+    gaps = [np.abs(np.searchsorted(a, v, "right") - np.searchsorted(b, v, "right")).max() for a, b in zip(one, other, strict=True) for v in [np.concatenate([a, b])]]
+    return np.maximum(np.array(gaps) / (QUANTILES + 1), LEAST_WEIGHT)
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Forest | None:
@@ -209,7 +212,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest | None:
     share = min(1.0, 2 * SAMPLE / max(1, n))
     picked = passing.where(F.pmod(F.xxhash64("sample_key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else passing
     rows = picked.select("x", "sample_key").distinct().orderBy("sample_key", "x").limit(SAMPLE).collect()
-    return grow(np.array([r.x for r in rows], np.float32), span=ordinary(stats, labels)) if rows else None
+    return grow(np.array([r.x for r in rows], np.float32), separation(stats, labels)) if rows else None
 
 
 def scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
