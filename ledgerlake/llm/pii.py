@@ -1,16 +1,22 @@
 """Personal data by weak supervision (operator 8), in DataFrame functions only.
 
 Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers; those spans always
-stay. Wider patterns find candidates besides (written-out addresses, phone numbers without a country
-code, account numbers). On every span three labelers vote yes, no or nothing: a strict regular
-expression, a gazetteer of known parts, and cue words in the text before. Expectation-maximisation over
-the counts of vote patterns estimates each labeler's reliability without labels, and its posteriors train
-a logistic span classifier, which decides on the candidates. What reaches the driver is the table of
-counts by discrete features: at most KINDS * 3^3 * 2^3 rows, however many documents there are.
-
-Defined results. Null or empty text: no spans. Repeated rows and doc_ids: one result a row. No rows, or
-no candidates: base spans only. A candidate that overlaps a base span or an earlier candidate is left
-out. Positions are code points. Columns other than doc_id and text are not read.
+stay. Wider patterns find candidates besides: written-out addresses, phone numbers without a country code,
+account numbers, names after a title, dates, postal addresses. On every match of a fixed pattern, also those
+that fail its rule and are no span, and on every candidate, three labelers vote yes, no or nothing: a strict
+regular expression, a gazetteer of known parts, and cue words in the text before. Expectation-maximisation over the counts of vote patterns of all spans estimates each
+labeler's reliability without labels, and its posteriors train a logistic span classifier, which decides on
+the candidates. What reaches the driver is the table of counts by discrete features: at most
+(4 + 6) * 3^3 * 2^3 rows, however many documents there are.
+
+Candidates are looked for kind by kind in a text whose base spans and earlier candidates are blanked out,
+so none overlaps another span. Time grows with a text's length and number of spans: positions are added up
+in blocks. Cue words count within CONTEXT code points before a span, back to the span of that kind before
+it; parts of addresses have the lengths that their formats allow (64 and 63 characters, 34 of an account).
+
+Defined results. Null or empty text: no spans. Repeated rows and doc_ids: one result a row. No rows: no
+rows. No spans at all, or no candidates: base spans only. Positions are code points. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-#: Kinds that the method adds; they come after the fixed ones.
-ADDED = ("contact", "number", "account")
+#: Kinds that the method adds; they come after the fixed ones, and are looked for in this order.
+ADDED = ("contact", "account", "number", "birth", "address", "person")
 
 # The fixed patterns, in forms that Java's engine matches in linear time and without recursion: possessive
 # loops where the next part can't begin inside them, and starts only where a leftmost match can start.
@@ -32,27 +38,59 @@ _PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+# Patterns of candidates, and what makes one look promising at low cost.
 _CANDIDATES = {
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "number": r"(?<![0-9+().-])(?<![0-9+][ ])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "number": r"(?<![0-9+().-])(?<![0-9+][ ])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "birth": r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])",
+    "address": r"(?<![0-9])[0-9]{1,5} (?:\p{Lu}\p{Ll}+ ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Square)(?!\p{L})|(?<!\p{L})\p{Lu}\p{Ll}+(?:straße|strasse|platz|allee) [0-9]{1,5}(?![0-9])|(?<!\p{L})(?:Calle|Avenida|Plaza) \p{Lu}\p{Ll}+,? [0-9]{1,5}(?![0-9])",
+    "person": r"(?<!\p{L})(?:Mrs?\.|Ms\.|Dr\.|Prof\.|Herr|Frau|Madame|Monsieur|Señora?) \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}+",
 }
+_HINTS = {
+    "contact": r"(?i)[(\[{]at[)\]}]",
+    "account": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9]-[0-9]{2}-[0-9]",
+    "number": r"[0-9]{3}[ .-][0-9]{4}",
+    "birth": r"[0-9][./-][0-9]{1,2}[./-][0-9]",
+    "address": r"[0-9] \p{Lu}\p{Ll}|\p{Ll},? [0-9]",
+    "person": r"(?:Mrs?|Ms|Dr|Prof)\. \p{Lu}|(?:Herr|Frau|Madame|Monsieur|Señora?) \p{Lu}",
+}
+# What a strict reading of each kind asks for.
 _STRICT = {
-    "contact": r"^[A-Za-z][A-Za-z0-9._+-]*+ ?.at. ?[A-Za-z0-9-]+ ?(?:\.|.dot.) ?[A-Za-z]{2,}$",
-    "number": r"^\([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4}$|^[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$",
+    "ip": r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
+    "card": r"^[0-9]{16}$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$",
+    "phone": r"^\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[0-9 .-]+$",
+    "contact": r"^[A-Za-z][A-Za-z0-9._+-]*+ ?.at. ?[A-Za-z0-9-]+(?: ?(?:\.|.dot.) ?[A-Za-z0-9-]+)* ?(?:\.|.dot.) ?[A-Za-z]{2,}$",
     "account": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,}|^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "number": r"^\([2-9][0-9]{2}\) [0-9]{3}-[0-9]{4}$|^[2-9][0-9]{2}([.-])[0-9]{3}\1[0-9]{4}$",
+    "birth": r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$",
+    "address": r"^[1-9][0-9]* (?:\p{Lu}\p{Ll}+ )+|^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?,? [1-9][0-9]*$",
+    "person": r" \p{Lu}\p{Ll}+[ -]\p{Lu}\p{Ll}+",
 }
+# Known parts that speak for a span. Kinds in _OPEN are too many to list, so that an unknown part says nothing.
 _GAZETTEER = {
+    "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$|gmail|yahoo|outlook|hotmail|mail",
+    "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]|2[3-5][0-9])",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
+    "phone": r"^\+(?:1|33|34|39|41|43|44|49|52|55|61|81|86|91)(?![0-9])",
     "contact": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$|gmail|yahoo|outlook|hotmail|mail",
-    "number": r"^\(?(?:2(?:0[1-9]|1[0-9]|2[0-9]|4[08]|5[1-6])|3(?:0[1-9]|1[0-9]|2[0-9])|4(?:0[1-9]|1[0-9]|25|43)|5(?:0[1-9]|1[0-9]|55)|6(?:0[1-9]|1[0-9]|46)|7(?:0[1-9]|1[0-9]|7[0-9])|8(?:0[0-9]|1[0-9]|88)|9(?:0[1-9]|1[0-9]))",
     "account": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}",
+    "number": r"^\(?(?:2(?:0[1-9]|1[0-9]|2[0-9]|4[08]|5[1-6])|3(?:0[1-9]|1[0-9]|2[0-9])|4(?:0[1-9]|1[0-9]|25|43)|5(?:0[1-9]|1[0-9]|55)|6(?:0[1-9]|1[0-9]|46)|7(?:0[1-9]|1[0-9]|7[0-9])|8(?:0[0-9]|1[0-9]|88)|9(?:0[1-9]|1[0-9]))",
+    "birth": r"19[0-9]{2}|200[0-9]",
+    "address": r"(?:Main|High|Church|Park|Oak|Maple|Station|Haupt|Bahnhof|Garten|Mayor|Real) ?(?:Street|Road|Avenue|straße|strasse|,? [0-9])",
+    "person": r" (?:Anna|Anne|Carlos|David|Elena|Hans|James|Jean|John|José|Juan|Karl|Laura|Maria|María|Marie|Martin|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sophie|Thomas|William)(?!\p{L})",
 }
-_CUES = r"(?i)(?:mail|contact|write|reach|phone|tel|call|fax|mobile|cell|ssn|social|iban|account|card)[^A-Za-z0-9]*$|(?:mail|contact|phone|tel|call|fax|ssn|iban)\b.{0,24}$"
-_AGAINST = r"(?i)(?:isbn|issn|order|invoice|version|sku|serial|part|page|item|ref|case|patent|build)\b.{0,24}$"
-_CONTEXT = 40
-
-_SPAN = "array<struct<s:int,e:int,v:string>>"
+_OPEN = ("account", "phone", "person", "address")
+# Words before a span that speak for it, and against it.
+_CUES = r"(?i)(?:mail|contact|write|reach|phone|tel|call|fax|mobile|cell|ssn|social|iban|account|card|born|birth|dob|name|address|lives? (?:at|in)|patient|host|ip)[^A-Za-z0-9]*$|(?:mail|contact|phone|tel|call|fax|ssn|iban|born|birth|address)\b.{0,24}$"
+_AGAINST = r"(?i)(?:isbn|issn|order|invoice|version|sku|serial|part|page|item|ref|case|patent|build|release|updated|published|founded|built)\b.{0,24}$"
+#: Code points before a span in which cue words count; matches that are added up at a time.
+CONTEXT, BLOCK = 40, 256
+
+_SPAN = "array<struct<s:int,e:int,v:string,before:string>>"
 _FEATURES = ("kind", "strict", "known", "cue", "spaced", "long", "line_start")
+_BLANK = "\x00"
 
 
 def found(text: Column, pattern: str, hint: Column) -> Column:
@@ -60,21 +98,48 @@ def found(text: Column, pattern: str, hint: Column) -> Column:
     return F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def placed(text: Column, matches: Column, pattern: str) -> Column:
-    """The matches with start and end: what the pattern splits the text into gives the gaps between them."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    return F.when(
-        F.size(matches) > 0,
-        F.aggregate(
-            F.zip_with(gaps, matches, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("v"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["v"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["v"])).alias("e"), x["v"].alias("v")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(F.array().cast(_SPAN))
+def _gaps(text: Column, matches: Column, pattern: str) -> Column:
+    """What lies before each match."""
+    return F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+
+
+def _pairs(text: Column, matches: Column, pattern: str) -> Column:
+    """The matches, each with the length and the end of what lies before it."""
+    return F.zip_with(_gaps(text, matches, pattern), matches, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("v"), F.substring(gap, -CONTEXT, CONTEXT).alias("before")))
+
+
+def _blocks(pairs: str) -> Column:
+    """The column ``pairs`` in blocks of BLOCK, each with its length and its spans counted from its start. It is
+    named twice, as what is named once is moved into the loop."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def place(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["v"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"), x["before"].alias("before")))).alias("out"))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(pairs) - 1, F.lit(0)), F.lit(BLOCK))
+    return F.when(F.size(pairs) > 0, F.transform(starts, lambda k: F.aggregate(F.slice(pairs, k + 1, F.lit(BLOCK)), empty, place)))
+
+
+def _spans(blocks: str) -> Column:
+    """The spans of all blocks, counted from the text's start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = F.aggregate(blocks, start, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    moved = lambda x, o: F.transform(x["out"], lambda y: F.struct((y["s"] + o).alias("s"), (y["e"] + o).alias("e"), y["v"].alias("v"), y["before"].alias("before")))
+    return F.coalesce(F.flatten(F.zip_with(blocks, offsets, moved)), F.array().cast(_SPAN))
+
+
+def blanked(text: Column, matches: Column, pattern: str, holds) -> Column:
+    """text with the matches that hold blanked out, as long as before."""
+    gaps = F.split(text, pattern, -1)
+    parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda gap, v: F.concat(gap, F.when(holds(v), F.repeat(F.lit(_BLANK), F.length(v))).otherwise(v)))
+    return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
+
+
+def _both(one: Column, other: Column) -> Column:
+    """Blank where either is."""
+    return F.array_join(F.zip_with(F.split(one, ""), F.split(other, ""), lambda x, y: F.when(x == _BLANK, x).otherwise(y)), "")
 
 
 def _digits(v: Column) -> Column:
@@ -105,41 +170,48 @@ def _hint(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("@"))
     if kind == "phone":
         return F.contains(text, F.lit("+"))
-    if kind == "contact":
-        return F.lower(text).rlike(r"[(\[{]at[)\]}]")
-    return F.lit(True)
+    return text.rlike(_HINTS[kind]) if kind in _HINTS else F.lit(True)
+
+
+def _vote(yes: Column, no: Column) -> Column:
+    return F.when(yes, 1).when(no, 0).otherwise(2)
+
+
+def _voted(kind: str):
+    """A span with its kind, votes and features."""
+
+    def row(x: Column) -> Column:
+        strict, known = x["v"].rlike(_STRICT[kind]) & _HOLDS.get(kind, lambda v: F.lit(True))(x["v"]), x["v"].rlike(_GAZETTEER[kind])
+        return F.struct(
+            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _vote(strict, ~strict).alias("strict"), _vote(known, F.lit(kind not in _OPEN) & ~known).alias("known"),
+            _vote(x["before"].rlike(_CUES), x["before"].rlike(_AGAINST)).alias("cue"), x["v"].contains(" ").cast("int").alias("spaced"), (F.length(x["v"]) > 16).cast("int").alias("long"), (x["before"] == "").cast("int").alias("line_start"),
+        )
+
+    return row
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, the base spans by kind, and the candidates with their votes and features."""
+    """Per row: doc_id, the base spans by kind, and ``voted`` and ``more``: matches of the fixed patterns and candidates, with votes and features."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[found(text, p, _hint(k, text)).alias(f"m_{k}") for k, p in {**_PATTERNS, **_CANDIDATES}.items()])
-    rows = rows.select("doc_id", "text", *[placed(text, F.col(f"m_{k}"), p).alias(f"all_{k}") for k, p in {**_PATTERNS, **_CANDIDATES}.items()])
-    rows = rows.select("doc_id", "text", *[F.filter(f"all_{k}", _passing(k)).alias(k) for k in BASE], *[F.col(f"all_{k}").alias(k) for k in ADDED])
-    base = F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE])
-    rows = rows.withColumn("base_spans", base)
-
-    def vote(yes: Column, no: Column) -> Column:
-        return F.when(yes, 1).when(no, 0).otherwise(2)
-
-    def seen(kind: str):
-        def row(x: Column) -> Column:
-            before = F.substr(text, F.greatest(x["s"] - (_CONTEXT - 1), F.lit(1)), F.least(x["s"], F.lit(_CONTEXT)))
-            strict, known = x["v"].rlike(_STRICT[kind]), x["v"].rlike(_GAZETTEER[kind])
-            return F.struct(
-                F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
-                vote(strict, ~strict).alias("strict"), vote(known, F.lit(kind != "account") & ~known).alias("known"),
-                vote(before.rlike(_CUES), before.rlike(_AGAINST)).alias("cue"),
-                x["v"].contains(" ").cast("int").alias("spaced"), (F.length(x["v"]) > 16).cast("int").alias("long"), (before == "").cast("int").alias("line_start"),
-            )
-
-        return row
-
-    free = lambda x: ~F.exists("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    more = F.concat(*[F.transform(F.filter(k, free), seen(k)) for k in ADDED])
+    rows = rows.select("*", *[found(text, _PATTERNS[k], _hint(k, text)).alias(f"m_{k}") for k in BASE])
+    rows = rows.select("*", *[_pairs(text, F.col(f"m_{k}"), _PATTERNS[k]).alias(f"p_{k}") for k in BASE])
+    rows = rows.select("doc_id", "text", *[f"m_{k}" for k in BASE], *[_blocks(f"p_{k}").alias(f"b_{k}") for k in BASE])
+    rows = rows.select("doc_id", "text", *[F.col(f"m_{k}") for k in BASE], *[_spans(f"b_{k}").alias(f"all_{k}") for k in BASE])
+    rows = rows.select("*", *[F.filter(f"all_{k}", _passing(k)).alias(k) for k in BASE])
+    blanks = F.filter(F.array(*[F.when(F.size(k) > 0, blanked(text, F.col(f"m_{k}"), _PATTERNS[k], _HOLDS[k])) for k in BASE]), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", *BASE, *[f"all_{k}" for k in BASE], blanks.alias("blanks"), "text")
+    rows = rows.withColumn("text", F.when(F.size("blanks") == 0, text).otherwise(F.aggregate(F.slice("blanks", F.lit(2), F.greatest(F.size("blanks") - 1, F.lit(0))), F.get("blanks", F.lit(0)), _both))).drop("blanks")
+    for k in ADDED:
+        pattern = _CANDIDATES[k]
+        rows = rows.withColumn("m", found(text, pattern, _hint(k, text))).withColumn("p", _pairs(text, F.col("m"), pattern)).withColumn("b", _blocks("p")).withColumn(k, _spans("b"))
+        if k != ADDED[-1]:
+            rows = rows.withColumn("text", F.when(F.size("m") > 0, blanked(text, F.col("m"), pattern, lambda v: F.lit(True))).otherwise(text))
+        rows = rows.drop("m", "p", "b")
     flat = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in BASE]
-    return rows.select("doc_id", *flat, F.array_sort(more, lambda a, b: a["s"] - b["s"]).alias("more"))
+    voted = F.concat(*[F.transform(f"all_{k}", _voted(k)) for k in BASE])
+    more = F.concat(*[F.transform(k, _voted(k)) for k in ADDED])
+    return rows.select("doc_id", *flat, voted.alias("voted"), F.array_sort(more, lambda a, b: a["s"] - b["s"]).alias("more"))
 
 
 def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[list[tuple[float, float]]]]:
@@ -192,8 +264,8 @@ def train(rows: list[tuple[tuple, int]], rounds: int = 300, rate: float = 0.5, d
 
 
 def model(found_spans: DataFrame) -> dict:
-    """The classifier's weights, from the counts of candidates by discrete features."""
-    each = found_spans.where(F.size("more") > 0).select(F.explode("more").alias("x"))
+    """The classifier's weights, from the counts of all spans by discrete features."""
+    each = found_spans.select(F.explode(F.concat("voted", "more")).alias("x"))
     rows = each.groupBy(*[F.col(f"x.{k}").alias(k) for k in _FEATURES]).count().collect()
     return train(sorted((tuple(r[:-1]), r[-1]) for r in rows))
 
@@ -213,11 +285,7 @@ def detect(docs: DataFrame, lasting) -> DataFrame:
     rows = lasting(spans(docs))
     weights = model(rows)
     likely = F.filter("more", _probable(weights)) if weights else F.filter("more", lambda x: F.lit(False))
-    apart = F.aggregate(
-        likely, F.filter("more", lambda x: F.lit(False)),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > x["s"]), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return rows.select("doc_id", *BASE, F.transform(apart, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("added"))
+    return rows.select("doc_id", *BASE, F.transform(likely, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("added"))
 
 
 def joined(*kinds: tuple[str, Column]) -> Column:

@@ -320,6 +320,66 @@ def test_personal_data_of_odd_texts(spark, lasting):
     assert any(r.added for r in out)
 
 
+PERSONAL = [
+    ("contact", "Contact us: ", "anna.smith (at) mail.example (dot) com"), ("number", "please call ", "(415) 555-2671"), ("account", "IBAN ", "DE89 3704 0044 0532 0130 00"), ("account", "ssn ", "123-45-6789"),
+    ("birth", "born on ", "12.03.1975"), ("address", "lives at ", "12 Main Street"), ("address", "address ", "Hauptstraße 5"), ("person", "patient ", "Dr. Anna Smith"), ("person", "", "Frau Laura Meier"),
+]
+
+
+def added_by_hand(text, weights):
+    """Kind by kind in the text with earlier spans blanked out; the weights decide."""
+    blank = lambda t, a, b: t[:a] + "\x00" * (b - a) + t[b:]
+    for _, a, b in personal(text):
+        text = blank(text, a, b)
+    out = []
+    for kind in pii.ADDED:
+        end = 0
+        for m in list(regex.finditer(pii._CANDIDATES[kind], text)):
+            before, v = text[end : m.start()][-pii.CONTEXT :], m[0]
+            end = m.end()
+            text = blank(text, *m.span())
+            yes = lambda p, t: regex.search(p, t) is not None
+            known = yes(pii._GAZETTEER[kind], v)
+            cue = 1 if yes(pii._CUES, before) else 0 if yes(pii._AGAINST, before) else 2
+            row = (kind, int(yes(pii._STRICT[kind], v)), 1 if known else 2 if kind in pii._OPEN else 0, cue, int(" " in v), int(len(v) > 16), int(before == ""))
+            if weights[None] + sum(weights.get(x, 0) for x in pii._inputs(row)) > 0:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_personal_data_outside_the_patterns(spark, texts, lasting):
+    """Planted in prose: what the method adds is what goes through by hand, and holds what was planted."""
+    prose = [" ".join(t.split()[:60]) for _, t in sorted(texts.items()) if t and len(t.split()) > 60]
+    planted = {i: (kind, f"{prose[i]} {cue}{value}, {prose[i + 1]}", value) for i, (kind, cue, value) in enumerate(PERSONAL * 3)}
+    rows = [(i, t) for i, (_, t, _) in planted.items()] + [(1000 + i, t) for i, t in sorted(texts.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = pii.model(lasting(pii.spans(docs)))
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.added] for r in pii.detect(docs, lasting).collect()}
+    for i, t in rows:
+        assert sorted(got[i]) == sorted(added_by_hand(t, weights)), t
+    lost = [(kind, v) for i, (kind, t, v) in planted.items() if (kind, t.index(v), t.index(v) + len(v)) not in got[i]]
+    assert len(lost) <= 0.1 * len(planted), lost
+    assert not any(got[i] for i, _ in rows if i >= 1000)
+
+
+def test_the_fixed_patterns_train_the_model(spark, texts, lasting):
+    """Matches that hold and matches that fail their rule are the evidence; a strict reading counts for a span."""
+    docs = documents(spark)
+    rows = lasting(pii.spans(docs))
+    matches = rows.selectExpr("explode(voted) as x").groupBy("x.kind").count().collect()
+    assert sum(r["count"] for r in matches) >= sum(len(personal(t or "")) for t in texts.values()) > 0
+    weights = pii.model(rows)
+    assert weights["strict", 1] > 0 > weights["strict", 0]
+
+
+def test_personal_data_in_very_long_texts(spark, lasting):
+    """Thousands of spans in one text."""
+    text = "bob@x.com and Dr. Anna Smith " * 5000
+    row = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), lasting).first()
+    assert [(x.s, x.e) for x in row.email] == [m.span() for m in re.finditer("bob@x.com", text)]
+    assert [(x.s, x.e) for x in row.added] in ([], [m.span() for m in re.finditer("Dr. Anna Smith", text)])
+
+
 def test_weak_supervision_learns_who_is_reliable():
     """From votes alone, the estimates tell three labelers of different quality apart."""
     rng, counts = random.Random(2), Counter()
