@@ -40,13 +40,16 @@ LEVELS = (3, 6)
 #: Least relative saving over the next language.
 MARGIN = 0.02
 
-#: Numerals that are neither letters nor decimal digits, which the two classes below leave.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals that are neither letters nor decimal digits, which the pattern leaves.
+_NUMERALS = {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")}
+_NO_NUMERALS = dict.fromkeys(map(ord, _NUMERALS), " ")
 
 
 def normal(text: str) -> bytes:
     """Lower-case letters, with one space for whatever lies between."""
+    if not text.isascii() and not _NUMERALS.isdisjoint(text):
+        text = text.translate(_NO_NUMERALS)
     return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
