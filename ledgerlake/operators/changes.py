@@ -6,14 +6,13 @@ A transaction that only rewrites (a compaction) changes no row, so neither its a
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.catalog import VISIBLE
 from ledgerlake.errors import InvalidArgument
 from ledgerlake.model import DataFile
 from ledgerlake.plans import scan
@@ -49,8 +48,15 @@ def latest(table: Table) -> int:
     return table.read().sequence
 
 
+def _start(table: Table) -> int:
+    """The sequence after which all changes are known: 0, or the first retained one once earlier ones have expired,
+    as what that one removed is forgotten with them."""
+    first = earliest(table)
+    return 0 if first == 1 else first
+
+
 def initial_checkpoint(table: Table) -> Checkpoint:
-    return Checkpoint(str(table.ident), earliest(table) - 1)
+    return Checkpoint(str(table.ident), _start(table))
 
 
 def read_changes(
@@ -60,9 +66,12 @@ def read_changes(
 
     keys: a delete and an insert of one key in a transaction become an update; previous adds the old row as
     the struct _prev. buffered: rows not committed yet, as inserts without transaction. limit takes the first
-    changes in order.
+    changes in order. after 0: from the first change that is known; another that has expired is refused.
     """
-    to = latest(table) if to is None else to
+    to, start = latest(table) if to is None else to, _start(table)
+    if 0 < after < start:
+        raise InvalidArgument(f"changes up to transaction sequence {start} have expired")
+    after = max(after, start)
     if after > to:
         raise InvalidArgument("from transaction is not an ancestor of to transaction")
     schema = table.read_at(to).schema.spec.to_spark() if to else table.read().schema.spec.to_spark()
@@ -93,10 +102,10 @@ def in_order(changes: DataFrame) -> DataFrame:
 
 def _raw(table: Table, after: int, to: int, schema: T.StructType) -> DataFrame:
     catalog, spark = table.catalog, table.catalog.spark
-    events = [e for e in catalog.events(table.ident, None, to) if e.sequence > after and e.kind != "compaction"]
+    events = [e for e in catalog.events(table.ident, after or None, to or None) if e.kind != "compaction"] if to else []
     ids = {e.sequence: e.transaction_id for e in events}
     added = [(c.file, e.sequence) for e in events for c in e.file_changes if c.kind == "added"]
-    removed = [(_as_of(table, c.file, e.sequence - 1), e.sequence) for e in events for c in e.file_changes if c.kind == "removed"]
+    removed = _as_of(table, [(c.file, e.sequence) for e in events for c in e.file_changes if c.kind == "removed"])
     parts = []
     if added:
         parts.append(_tagged(scan.read_files(spark, [f for f, _ in added], schema, located=True), added, ids, "insert", spark))
@@ -119,10 +128,19 @@ def _tagged(rows: DataFrame, files: list[tuple[DataFile, int]], ids: dict[int, s
     return rows.join(of, PATH).select(*[F.col(f"`{n}`") for n in names], F.lit(op).alias("_op"), "_txn_seq", "_txn_id", F.col(PATH).alias("_file"), F.col(POSITION).alias("_pos"))
 
 
-def _as_of(table: Table, file: DataFile, sequence: int) -> DataFile:
-    """The file with the vector that was active at a sequence: what it held then is what its removal deletes."""
-    row = table.catalog.store.row(f"select * from deletion_vectors where file_uuid = ? and {VISIBLE.format('')}", (file.uuid, sequence, sequence))
-    return file if row is None else DataFile(**{**file.__dict__, "dv_path": row["dv_path"], "dv_cardinality": row["cardinality"]})
+def _as_of(table: Table, removed: list[tuple[DataFile, int]]) -> list[tuple[DataFile, int]]:
+    """The files with the vectors that were active before their removal: what they held then is what it deletes."""
+    held: dict[str, list] = {}
+    uuids = [f.uuid for f, _ in removed]
+    for k in range(0, len(uuids), 500):
+        some = tuple(uuids[k : k + 500])
+        for r in table.catalog.store.rows(f"select * from deletion_vectors where file_uuid in ({', '.join('?' * len(some))})", some):
+            held.setdefault(r["file_uuid"], []).append(r)
+    out = []
+    for file, sequence in removed:
+        own = [r for r in held.get(file.uuid, ()) if r["added_in_sequence"] < sequence and (r["removed_in_sequence"] is None or r["removed_in_sequence"] >= sequence)]
+        out.append((replace(file, dv_path=own[0]["dv_path"], dv_cardinality=own[0]["cardinality"]) if own else file, sequence))
+    return out
 
 
 def _new_positions(table: Table, after: int, to: int, ids: dict[int, str]) -> tuple[list[DataFile], DataFrame] | None:
@@ -136,7 +154,7 @@ def _new_positions(table: Table, after: int, to: int, ids: dict[int, str]) -> tu
     rows = [r for r in rows if r["added_in_sequence"] in ids]
     if not rows:
         return None
-    files = {f.uuid: f for e in table.catalog.events(table.ident, None, to) for c in e.file_changes for f in [c.file] if c.kind == "added"}
+    files = {f.uuid: f for f in table.catalog.files(table.ident, list(dict.fromkeys(r["file_uuid"] for r in rows)), to)}
     schema = f"{PATH} string, {POSITION} long"
     parts = []
     for seq in sorted({r["added_in_sequence"] for r in rows}):
@@ -150,17 +168,28 @@ def _new_positions(table: Table, after: int, to: int, ids: dict[int, str]) -> tu
 
 
 def detect_updates(changes: DataFrame, keys: tuple[str, ...], names: list[str], previous: bool = False) -> DataFrame:
-    """Pairs deletes and inserts of a transaction by key (a full outer join). A key with several deletes or inserts in one transaction stays as these."""
+    """Pairs deletes and inserts of a transaction by key. A key with several deletes or inserts in one transaction stays
+    as these, and so does one with a null.
+
+    One aggregation finds the pairs, combined before its shuffle, so that a key with many changes is no burden;
+    what is not paired is the rest of an anti-join, which splits such a key.
+    """
     by = ["_txn_seq", *keys]
-    # Keys that are not one-to-one are told by counting, not by a second copy of the rows.
-    count = changes.groupBy(*by).agg(F.count_if(F.col("_op") == "delete").alias("_d"), F.count_if(F.col("_op") == "insert").alias("_i"))
-    known = changes.join(count, by, "left")
-    paired = (F.col("_d") == 1) & (F.col("_i") == 1)
-    rest = known.where(~F.coalesce(paired, F.lit(False)))
-    old = known.where(paired & (F.col("_op") == "delete")).select(*by, F.struct(*names).alias("_prev"))
-    new = known.where(paired & (F.col("_op") == "insert")).join(old, by).withColumn("_op", F.lit("update"))
-    kind = T.StructType([changes.schema[n] for n in names])
-    out = new.select(*names, *META, "_prev").unionByName(rest.select(*names, *META, F.lit(None).cast(kind).alias("_prev")))
+    quoted = [F.col(f"`{n}`") for n in names]
+    is_old, is_new = F.col("_op") == "delete", F.col("_op") == "insert"
+    known = reduce(lambda a, k: a & F.col(f"`{k}`").isNotNull(), keys, F.lit(True))
+    pairs = (
+        changes.where(known).groupBy(*[F.col(f"`{k}`") for k in by])
+        .agg(
+            F.count_if(is_old).alias("_d"), F.count_if(is_new).alias("_i"), F.first(F.when(is_old, F.struct(*quoted)), ignorenulls=True).alias("_prev"),
+            F.first(F.when(is_new, F.struct(*quoted, *[F.col(m) for m in META])), ignorenulls=True).alias("_new"),
+        )
+        .where("_d = 1 and _i = 1")
+    )
+    updates = pairs.select(*[F.col(f"_new.`{n}`").alias(n) for n in names], F.lit("update").alias("_op"), *[F.col(f"_new.{m}").alias(m) for m in META[1:]], "_prev")
+    kind = updates.schema["_prev"].dataType
+    rest = changes.join(pairs.select(*[F.col(f"`{k}`") for k in by]), by, "left_anti").select(*quoted, *META, F.lit(None).cast(kind).alias("_prev"))
+    out = updates.unionByName(rest)
     return out if previous else out.drop("_prev")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from time import monotonic
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.errors import Conflict
+from ledgerlake.ids import new_uuid
 from ledgerlake.sources.formats import WriteOptions
 from ledgerlake.table import Table
 
@@ -40,30 +42,44 @@ def ingest(stream: DataFrame, table: Table, query_id: str, checkpoint: str, *, e
 
 @dataclass
 class Buffer:
-    """Rows on their way into a table, for writers that have no stream: flushed by size, rows or call.
+    """Rows on their way into a table, for writers that have no stream: flushed by size, rows, age or call.
 
     Rows wait in the source's own log; the buffer holds DataFrames, not data. Unflushed rows are seen only by
-    reads that ask for them.
+    reads that ask for them. Every buffer numbers its batches under an id of its own, so that one made after a
+    restart, or beside another of the same query_id, is never taken for a batch that is in the table already;
+    a flush that is called again after it failed at whatever point adds nothing twice.
     """
 
     table: Table
     query_id: str
     flush_rows: int = FLUSH_ROWS
+    flush_bytes: int = FLUSH_BYTES
+    flush_seconds: float = FLUSH_SECONDS
     pending: list[DataFrame] = field(default_factory=list)
     rows: int = 0
+    size: int = 0
+    since: float | None = None
     batch: int = 0
+    own_id: str = field(default_factory=new_uuid)
 
-    def add(self, df: DataFrame, rows: int) -> bool:
-        """Whether the buffer was flushed."""
+    def add(self, df: DataFrame, rows: int, size: int = 0) -> bool:
+        """Whether the buffer was flushed. size: bytes of the rows, as far as known."""
         self.pending.append(df)
         self.rows += rows
-        return self.flush() if self.rows >= self.flush_rows else False
+        self.size += size
+        self.since = self.since if self.since is not None else monotonic()
+        return self.flush() if self.due() else False
+
+    def due(self) -> bool:
+        """Whether rows, bytes or the age of the first waiting rows ask for a flush."""
+        return bool(self.pending) and (self.rows >= self.flush_rows or self.size >= self.flush_bytes or monotonic() - self.since >= self.flush_seconds)
 
     def flush(self) -> bool:
+        """Commits what waits, and lets go of it once it is in the table; whether this call appended rows."""
         if not self.pending:
             return False
-        done = commit_batch(self.table, self.buffered(), self.query_id, self.batch)
-        self.pending, self.rows, self.batch = [], 0, self.batch + 1
+        done = commit_batch(self.table, self.buffered(), f"{self.query_id}:{self.own_id}", self.batch)
+        self.pending, self.rows, self.size, self.since, self.batch = [], 0, 0, None, self.batch + 1
         return done
 
     def buffered(self) -> DataFrame | None:

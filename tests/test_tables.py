@@ -410,3 +410,38 @@ def test_files_registered_without_statistics_are_measured(catalog, rows, tmp_pat
     t.write().append_file(FileSpec(str(path), 60, path.stat().st_size)).commit()
     assert t.df(P.Eq("id", 3)).count() == 1 and len(t.snapshot().files(P.Eq("id", 99))) == 1
     assert maintenance.collect_file_stats(t) == 1 and t.snapshot().files(P.Eq("id", 99)) == [] and maintenance.collect_file_stats(t) == 0
+
+
+def test_changes_after_expiry(spark, tmp_path):
+    table = Catalog.in_memory(spark).create_table("n.t", str(tmp_path / "t"), SchemaSpec.from_spark(spark.range(1).schema))
+    for k in range(3):
+        table.append(spark.range(10 * k, 10 * k + 10))
+    assert changes.read_changes(table).count() == 30
+    maintenance.expire(table, keep=1)
+    deletes.delete_where(table, P.Lt("id", 5))
+    assert sorted((r.id, r["_op"]) for r in changes.read_changes(table).collect()) == [(k, "delete") for k in range(5)]
+    assert changes.initial_checkpoint(table).sequence == 4 and changes.read_changes(table, 4).count() == 5
+    with pytest.raises(InvalidArgument, match="have expired"):
+        changes.read_changes(table, 2)
+
+
+def test_a_buffer_after_a_restart_loses_nothing(spark, tmp_path):
+    table = Catalog.in_memory(spark).create_table("n.t", str(tmp_path / "t"), SchemaSpec.from_spark(spark.range(1).schema))
+    first = ingest.Buffer(table, "q")
+    first.add(spark.range(3), 3)
+    assert first.flush() and not first.flush()
+    second = ingest.Buffer(table, "q")
+    second.add(spark.range(3, 9), 6)
+    assert second.flush() and not second.pending and table.df().count() == 9
+    sized = ingest.Buffer(table, "q", flush_bytes=100)
+    assert not sized.add(spark.range(9, 10), 1, 60) and sized.add(spark.range(10, 11), 1, 60) and table.df().count() == 11
+    aged = ingest.Buffer(table, "q", flush_seconds=0)
+    assert aged.add(spark.range(11, 12), 1) and table.df().count() == 12
+
+
+def test_updates_of_keys_that_are_not_one_to_one(spark):
+    """A key with a null, and one with two inserts in a transaction, stay deletes and inserts."""
+    rows = [(1, "a", "delete", 1), (1, "b", "insert", 1), (2, "c", "delete", 1), (2, "d", "insert", 1), (2, "e", "insert", 1), (None, "f", "delete", 1), (None, "g", "insert", 1), (1, "h", "insert", 2)]
+    df = spark.createDataFrame([(k, v, op, n, str(n), "f", i) for i, (k, v, op, n) in enumerate(rows)], "id long, v string, _op string, _txn_seq long, _txn_id string, _file string, _pos long")
+    got = {(r.id, r.v, r["_op"], r["_prev"] and r["_prev"].v) for r in changes.detect_updates(df, ("id",), ["id", "v"], True).collect()}
+    assert got == {(1, "b", "update", "a"), (2, "c", "delete", None), (2, "d", "insert", None), (2, "e", "insert", None), (None, "f", "delete", None), (None, "g", "insert", None), (1, "h", "insert", None)}
