@@ -13,11 +13,10 @@ that go through a prefix filter (rarest shingles first), of which only pairs of
 Verified links are joined to classes. Exact copies are one text from the start.
 
 Missing a pair at the least similarity 0.8 takes all but one of the BANDS bands to differ, which happens
-with a probability below 1e-4 (below 1e-9 at 0.9); the prefix filter loses no pair of texts of up to
-SAMPLED shingles, and of longer ones, of which it takes a sample, one in 1e7.
+with a probability below 1e-4 (below 1e-9 at 0.9); the prefix filter loses no pair.
 
 Defined results. One row per input row. Null doc_id, or a text without words (null, empty, white space):
-a class of its own, with class_id = doc_id and class_size = 1. Texts of 1 to 4 words have one shingle, all
+a class of its own, with class_id = doc_id, class_size = 1 and n_links = 0. Texts of 1 to 4 words have one shingle, all
 their words. Repeated rows and ties: the class id is the least doc_id. Columns but doc_id and text are not read.
 """
 
@@ -40,8 +39,6 @@ SHARED = 2
 MARKS = BANDS * ROWS
 #: Texts of a bucket, or of a prefix shingle's list, up to which all its pairs are compared.
 SMALL = 12
-#: Shingles of a text beyond which the prefix filter takes a sample, of about so many in the whole text; and the share of them, one in SPARE, that is sure to hold shared ones.
-SAMPLED, SPARE = 2000, 50
 #: Earlier elements that a prefix's element is kept with: texts that share one of them have met there.
 EARLIER = 4
 #: Texts, and shingles of each, from which common shingles are told; that orders the prefix filter, and never decides.
@@ -172,7 +169,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs(a, b) whose texts are similar."""
     left = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # In a star, a is its centre: its text is joined last, so that no shuffle carries it once a member.
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def make():
         cache, kept = W.WordHashes(), {}
@@ -215,8 +213,7 @@ def _prefixes(texts: DataFrame, common: dict[int, int]) -> DataFrame:
 
     An element is a shingle with its how-manieth occurrence, so that sets of elements overlap as multisets do.
     Of sets of size n, those that share 80 % of their union lack at most n / 5 of it, so a shared element is
-    among the first n / 5 + 1, and the m-th one they share is m places later at most, in either. Of long texts,
-    elements are sampled by hash: the first n / SPARE that are shared have about SAMPLED / SPARE in the sample.
+    among the first n / 5 + 1, and the m-th one they share is m places later at most, in either.
     """
     ranked = np.array(sorted(common), np.uint64)
     weight = np.array([common[k] for k in sorted(common)], np.int64)
@@ -233,12 +230,9 @@ def _prefixes(texts: DataFrame, common: dict[int, int]) -> DataFrame:
                 if len(ranked):
                     at = np.minimum(np.searchsorted(ranked, each), len(ranked) - 1)
                     rank = np.where(ranked[at] == each, weight[at], 0)
-                order = np.lexsort((each, rank))[: (n // 5 if n <= SIMILAR * SAMPLED else n // 5 + n // SPARE) + 1]
-                at = np.arange(len(order))
-                if n > SAMPLED:
-                    at = at[(W.mix(each[order]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < SAMPLED / n]
-                keys.append(each[order][at].view(np.int64))
-                places.append(at)
+                order = np.lexsort((each, rank))[: n // 5 + 1]
+                keys.append(each[order].view(np.int64))
+                places.append(np.arange(len(order)))
                 sizes.append(n)
             return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["fp", "size", "at", "keys"])
 
@@ -282,8 +276,7 @@ def _crossing(buckets: DataFrame, parts: DataFrame, docs: DataFrame, distinct: D
     other = listed.select("k", *[F.col(c).alias(f"{c}_b") for c in ("fp", "part", "size", "at", "before")])
     least = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("size_a") + F.col("size_b")) - 1e-6)
     least_size = F.least("size_a", "size_b")
-    spare = F.when(F.greatest("size_a", "size_b") > SAMPLED, F.floor(least_size / SPARE)).otherwise(0)
-    near = (least_size >= SIMILAR * F.greatest("size_a", "size_b")) & (F.col("at_a") <= F.col("size_a") - least + spare) & (F.col("at_b") <= F.col("size_b") - least + spare)
+    near = (least_size >= SIMILAR * F.greatest("size_a", "size_b")) & (F.col("at_a") <= F.col("size_a") - least) & (F.col("at_b") <= F.col("size_b") - least)
     met = one.join(other, "k").where((F.col("part_a") != F.col("part_b")) & near & ~F.arrays_overlap("before_a", "before_b"))
     swap = F.col("fp_a") > F.col("fp_b")
     ends = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(k) for c, x, y, k in (("fp", "a", "b", "a"), ("fp", "b", "a", "b"), ("part", "a", "b", "part_a"), ("part", "b", "a", "part_b"))]
@@ -291,7 +284,8 @@ def _crossing(buckets: DataFrame, parts: DataFrame, docs: DataFrame, distinct: D
 
 
 def classes(docs: DataFrame, lasting: Lasting) -> DataFrame:
-    """Per row: doc_id, class_id (the least doc_id among its near duplicates), class_size (rows of the class)."""
+    """Per row: doc_id, class_id (the least doc_id among its near duplicates), class_size (rows of the class), n_links
+    (different texts with which its text was compared and found similar; they tie the class together)."""
     rows = lasting(signed(docs))
     distinct = lasting(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     keys = distinct.select("fp", "copies", F.explode("bands").alias("key"))
@@ -303,20 +297,24 @@ def classes(docs: DataFrame, lasting: Lasting) -> DataFrame:
         return with_texts(docs, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(known, "fp"))
 
     pairs = lasting(candidates(buckets))
-    parts = components(lasting(verified(pairs, texts_of(pairs))), lasting)
+    links = lasting(verified(pairs, texts_of(pairs)))
+    parts = components(links, lasting)
     rest = _crossing(buckets, parts, docs, known, lasting)
     if rest is not None:
         rest = lasting(rest)
         # The classes are the nodes now: their links are far fewer than the texts'.
-        links = verified(rest.select("a", "b"), texts_of(rest)).join(rest, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-        merged = components(links, lasting).select(F.col("node").alias("part"), F.col("part").alias("whole"))
+        crossing = lasting(verified(rest.select("a", "b"), texts_of(rest)))
+        links = links.union(crossing)
+        between = crossing.join(rest, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+        merged = components(between, lasting).select(F.col("node").alias("part"), F.col("part").alias("whole"))
         alone = merged.select(F.col("part").alias("node"), "part")
         parts = parts.union(alone).distinct().join(merged, "part", "left").select("node", F.coalesce("whole", "part").alias("part"))
     named = distinct.select("fp", "doc_id", "copies").join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("part", "fp"))
     whole = named.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = named.select("fp", "part").join(whole, "part").select("fp", "class_id", "class_size")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    by_text = named.select("fp", "part").join(whole, "part").join(degrees, "fp", "left").select("fp", "class_id", "class_size", "n_links")
     out = rows.select("doc_id", "fp").join(by_text, "fp", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, lasting: Lasting) -> DataFrame:
