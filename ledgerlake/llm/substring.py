@@ -9,7 +9,8 @@
    each: of each window the run of ANCHOR words that fewest passages hold.
    All documents of the part stream through; at each anchor, text and passage are compared word by
    word, both ways, and stretches of a whole window or more are occurrences. Hashes thus only say
-   where to look; words decide.
+   where to look; words decide. Of places with the same words around one is kept, and what is known to
+   be held is not compared again, so that a word said a million times takes no longer than other words.
 
 Defined results. One row per input row. Null or empty text, or fewer words than a window: nothing is
 removed. Null doc_id: nothing is removed, and its windows are nobody's first. Rows of one doc_id are one
@@ -186,9 +187,13 @@ class Phrases:
         self.numbers = [[numbers[w] for w in words] for words in split]
         self.texts = ["".join([self.code[w] for w in words]) for words in split]
         self.shards = []
-        anchors: dict[str, list[tuple[int, int]]] = {}
+        anchors: dict[str, dict[str, tuple[int, int, int]]] = {}
         for p, k in self._rarest():
-            anchors.setdefault(self.texts[p][DIGITS * k : DIGITS * (k + ANCHOR)], []).append((p, k))
+            # All windows that hold the anchor lie in the words around it: of places with the same ones, the least owner's will do.
+            text, place = self.texts[p], (self.owners[p], p, k)
+            around = text[DIGITS * max(0, k + ANCHOR - WINDOW) : DIGITS * (k + WINDOW)]
+            places = anchors.setdefault(text[DIGITS * k : DIGITS * (k + ANCHOR)], {})
+            places[around] = min(places.get(around, place), place)
             if len(anchors) >= SHARD:
                 self._compile(anchors)
                 anchors = {}
@@ -210,11 +215,11 @@ class Phrases:
             p = int(np.searchsorted(offsets, start, "right")) - 1
             yield p, int(start - offsets[p])
 
-    def _compile(self, anchors: dict[str, list[tuple[int, int]]]) -> None:
+    def _compile(self, anchors: dict[str, dict[str, tuple[int, int, int]]]) -> None:
         if anchors:
             shard = ahocorasick.Automaton()
             for anchor, places in anchors.items():
-                shard.add_word(anchor, places)
+                shard.add_word(anchor, sorted(places.values()))
             shard.make_automaton()
             self.shards.append(shard)
 
@@ -231,36 +236,56 @@ class Phrases:
 
     def _mark(self, doc_id: int, text: str, covered: np.ndarray) -> None:
         done: dict[tuple[int, int], int] = {}
+        most = len(text) // DIGITS - WINDOW
         for shard in self.shards:
+            # Windows that start from low to before high are known to be held.
+            low = high = 0
             for last, places in shard.iter(text):
                 end = (last + 1) // DIGITS
                 start = end - ANCHOR
-                for p, k in places:
-                    if self.owners[p] >= doc_id or done.get((p, start - k), -1) >= end:
+                for owner, p, k in places:
+                    if owner >= doc_id or (low <= max(0, end - WINDOW) and high > min(start, most)):
+                        break
+                    if done.get((p, start - k), -1) >= end:
                         continue
-                    a = start - _common(text[: DIGITS * start], self.texts[p][: DIGITS * k], -1)
-                    b = end + _common(text[DIGITS * end :], self.texts[p][DIGITS * (k + ANCHOR) :], 1)
+                    a = start - _before(text, DIGITS * start, self.texts[p], DIGITS * k)
+                    b = end + _after(text, DIGITS * end, self.texts[p], DIGITS * (k + ANCHOR))
                     done[p, start - k] = b
                     if b - a >= WINDOW:
                         covered[a] += 1
                         covered[b] -= 1
+                        upto = b - WINDOW + 1
+                        low, high = (min(low, a), max(high, upto)) if a <= high and low <= upto else (a, upto)
 
 
 def _digits(number: int) -> str:
     return "".join(chr((d + 1) * 256 + number // 128**d % 128) for d in range(DIGITS))
 
 
-def _common(one: str, other: str, step: int) -> int:
-    """Words that two coded texts have in common at their starts (step 1) or ends (step -1), by halving."""
-    low, high = 0, min(len(one), len(other)) // DIGITS
-    while low < high:
-        mid = (low + high + 1) // 2
-        n = DIGITS * mid
-        if one[:n] == other[:n] if step > 0 else one[len(one) - n :] == other[len(other) - n :]:
-            low = mid
+def _after(one: str, i: int, other: str, j: int) -> int:
+    """Words that two coded texts have in common from i and j on, in steps that double."""
+    n, most, step = 0, min(len(one) - i, len(other) - j) // DIGITS, 8
+    while n < most:
+        step = min(step, most - n)
+        at, size = DIGITS * n, DIGITS * step
+        if one[i + at : i + at + size] == other[j + at : j + at + size]:
+            n, step = n + step, 2 * step
         else:
-            high = mid - 1
-    return low
+            most, step = n + step - 1, max(1, step // 2)
+    return n
+
+
+def _before(one: str, i: int, other: str, j: int) -> int:
+    """Words that they have in common up to i and j."""
+    n, most, step = 0, min(i, j) // DIGITS, 8
+    while n < most:
+        step = min(step, most - n)
+        at, size = DIGITS * n, DIGITS * step
+        if one[i - at - size : i - at] == other[j - at - size : j - at]:
+            n, step = n + step, 2 * step
+        else:
+            most, step = n + step - 1, max(1, step // 2)
+    return n
 
 
 def _remove(part: int, docs: pa.Table, rows: pa.Table) -> pa.Table:
