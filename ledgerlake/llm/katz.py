@@ -103,15 +103,15 @@ def _stream(docs: pa.Table, held_out: tuple[int, int]) -> Stream:
 def _send_counts(n: int, held_out: tuple[int, int], part: int, docs: pa.Table) -> pa.Table:
     s = _stream(docs, held_out)
     learnt = s.train[s.doc]
-    words = np.bincount(s.word[learnt], minlength=len(s.words)).astype(np.uint32)
-    pairs = np.bincount(s.pair[learnt], minlength=len(s.pairs)).astype(np.uint32)
+    words = np.bincount(s.word[learnt], minlength=len(s.words)).astype(np.uint64)
+    pairs = np.bincount(s.pair[learnt], minlength=len(s.pairs)).astype(np.uint64)
     return pa.concat_tables([P.send(part, n, s.words, words), P.send(part, n, s.pairs << np.uint64(8), pairs, first=n)])
 
 
 def _answer_counts(n: int, to: int, rows: pa.Table) -> pa.Table:
     """To every part: this bucket's numbers of n-grams by count, of tokens and of n-grams; and the counts of the
     keys that the part sent, doubled, plus one for the part that speaks for the key."""
-    of, keys, counts = P.received(rows, np.uint32)
+    of, keys, counts = P.received(rows, np.uint64)
     order = np.argsort(keys, kind="stable")
     first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     group = np.empty(len(keys), np.int64)
@@ -119,7 +119,7 @@ def _answer_counts(n: int, to: int, rows: pa.Table) -> pa.Table:
     total = np.bincount(group, weights=counts).astype(np.int64)
     speaker = np.full(len(total), np.iinfo(np.int64).max)
     np.minimum.at(speaker, group, of)
-    answer = (2 * total[group] + (speaker[group] == of)).astype(np.uint32)
+    answer = (2 * total[group] + (speaker[group] == of)).astype(np.uint64)
     summary = np.concatenate([np.bincount(np.minimum(total, KATZ + 2), minlength=KATZ + 3)[: KATZ + 2], [total.sum(), (total > 0).sum()]]).astype(np.int64)
     by = {int(p): answer[of == p] for p in np.unique(of)}
     return P.table((p, to, summary.tobytes(), len(by[p]).to_bytes(4, "little") + P.short(by[p]) if p in by else bytes(4)) for p in range(n))

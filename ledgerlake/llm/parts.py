@@ -83,17 +83,17 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def short(counts: np.ndarray) -> bytes:
-    """Counts that are mostly small: a byte each, and four more for one of 255 or above."""
+    """Counts that are mostly small: a byte each, and eight more for one of 255 or above."""
     small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[small == 255].astype(np.uint32).tobytes()
+    return small.tobytes() + counts[small == 255].astype(np.uint64).tobytes()
 
 
 def unshort(data: bytes, n: int, offset: int = 0) -> tuple[np.ndarray, int]:
     """n counts from an offset on, and the bytes that they take."""
-    out = np.frombuffer(data, np.uint8, n, offset).astype(np.uint32)
+    out = np.frombuffer(data, np.uint8, n, offset).astype(np.uint64)
     large = np.flatnonzero(out == 255)
-    out[large] = np.frombuffer(data, np.uint32, len(large), offset + n)
-    return out, n + 4 * len(large)
+    out[large] = np.frombuffer(data, np.uint8, 8 * len(large), offset + n).view(np.uint64)
+    return out, n + 8 * len(large)
 
 
 def send(part: int, n: int, keys: np.ndarray, *more: np.ndarray, first: int = 0) -> pa.Table:
@@ -111,8 +111,8 @@ def table(rows: Iterable[tuple[int, int, bytes, bytes]]) -> pa.Table:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other; unsigned 32-bit ones hold counts."""
-    return b"".join(short(x) if x.dtype == np.uint32 else np.ascontiguousarray(x).tobytes() for x in arrays)
+    """Arrays one after the other; unsigned 64-bit ones hold counts."""
+    return b"".join(short(x) if x.dtype == np.uint64 else np.ascontiguousarray(x).tobytes() for x in arrays)
 
 
 def received(rows: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
@@ -125,7 +125,7 @@ def received(rows: pa.Table, *kinds: type) -> tuple[np.ndarray, ...]:
     for m, n in zip(more, sizes.tolist(), strict=True):
         offset = 0
         for kind, column in zip(kinds, columns, strict=True):
-            if kind is np.uint32:
+            if kind is np.uint64:
                 values, width = unshort(m, n, offset)
             else:
                 values, width = np.frombuffer(m, kind, n, offset), n * np.dtype(kind).itemsize
