@@ -216,12 +216,12 @@ def _coder(path: str, pattern: str) -> Coder:
     return W.kept(("bpe", path, pattern), lambda: Coder(path, pattern))
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per row: doc_id, ids (decimal, joined by one space) and the bytes decoded from them."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def make():
-        coder = _coder(path, pattern)
+        coder = _coder(path, public_tokenizers.PATTERN)
 
         def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             for first, texts in _parts(batch.column("text").to_pylist()):

@@ -47,12 +47,12 @@ def test_squeezed_keys_and_counts():
             keys.sort()
             assert (P.unsqueeze(P.squeeze(keys)) == keys).all()
     assert (P.unsqueeze(P.squeeze(np.array([0, 2**64 - 1], np.uint64))) == np.array([0, 2**64 - 1], np.uint64)).all()
-    counts = np.array([0, 1, 254, 255, 70_000, 3], np.uint32)
+    counts = np.array([0, 1, 254, 255, 70_000_000_000, 3], np.uint64)
     got, width = P.unshort(b"xx" + P.short(counts), 6, 2)
-    assert (got == counts).all() and width == 6 + 8
+    assert (got == counts).all() and width == 6 + 16
     keys = np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64))
-    mail = P.send(7, 5, keys, np.arange(50, dtype=np.uint32), np.ones(50, bool))
-    of, back, a, b = P.received(mail, np.uint32, np.bool_)
+    mail = P.send(7, 5, keys, np.arange(50, dtype=np.uint64), np.ones(50, bool))
+    of, back, a, b = P.received(mail, np.uint64, np.bool_)
     assert (back == keys).all() and (a == np.arange(50)).all() and b.all() and set(of) == {7}
 
 
@@ -111,11 +111,11 @@ def family(rng, base, n, most):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_classes_equal_brute_force(spark, lasting, seed):
-    """Small and large families, exact copies, repeated multisets, chains; large buckets of several classes."""
+    """Small and large families, of short and very long texts, exact copies, repeated multisets, chains; large buckets of several classes."""
     rng = random.Random(seed)
     word = lambda: rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(40))
     texts = []
-    for n, most, length in ((40, 6, 60), (12, 3, 30), (5, 1, 300), (3, 9, 600), (25, 12, 80)):
+    for n, most, length in ((40, 6, 60), (12, 3, 30), (5, 1, 300), (3, 9, 600), (25, 12, 80), (14, 150, 4000)):
         texts += family(rng, [word() for _ in range(length)], n, most)
     texts += [" ".join(word() for _ in range(rng.randrange(1, 50))) for _ in range(60)]
     texts += ["a b c d e " * 30, "a b c d e " * 31, "a b c d e " * 60, "one two", "one two", "", None]
@@ -126,7 +126,13 @@ def test_classes_equal_brute_force(spark, lasting, seed):
 
 
 def test_op1(spark):
-    check_classes([(r.doc_id, r.text) for r in read(spark).collect()], Q.op1_near_duplicates(spark, SF).collect())
+    rows, got = [(r.doc_id, r.text) for r in read(spark).collect()], Q.op1_near_duplicates(spark, SF).collect()
+    check_classes(rows, got)
+    text = dict(rows)
+    members = {}
+    for r in got:
+        members.setdefault(r.class_id, set()).add(text[r.doc_id])
+    assert all((r.n_links > 0) == (len(members[r.class_id]) > 1) and r.n_links < len(members[r.class_id]) for r in got)
 
 
 def test_bagminhash_estimates_weighted_jaccard():
@@ -291,3 +297,29 @@ def test_discounts():
     assert (katz.discounted(np.array([0, 0, 0, 0, 0, 0, 0]))[1:] == np.arange(1, 6) - 0.5).all()
     got = katz.discounted(np.array([0, 100, 40, 20, 12, 8, 5]))
     assert got[1] == 0.8 and all(0 < got[r] < r for r in range(1, 6))
+
+
+def test_counts_pass_32_bits():
+    """A key counted 1,500,000,000 times in each of two parts."""
+    key = np.array([5, 1 << 40], np.uint64)
+    rows = P.table((0, part, P.squeeze(key), P.pack(np.array([1_500_000_000, 3], np.uint64))) for part in (0, 1))
+    for r in katz._answer_counts(2, 0, rows).to_pylist():
+        counts, _ = P.unshort(r["more"], int.from_bytes(r["more"][:4], "little"), 4)
+        assert [int(c) >> 1 for c in counts] == [3_000_000_000, 6]
+
+
+def test_passages_of_one_word_said_over_and_over():
+    """Against brute force on short ones; a long one takes no longer a word."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        passages = [(int(o), [b"a b c".split()[k] for k in rng.choice(3, rng.integers(13, 60), p=[0.9, 0.07, 0.03])]) for o in rng.integers(0, 5, 3)]
+        text = [b"a b c d".split()[k] for k in rng.choice(4, 80, p=[0.88, 0.06, 0.03, 0.03])]
+        want = np.zeros(len(text), bool)
+        held = {tuple(words[k : k + 13]) for owner, words in passages if owner < 3 for k in range(len(words) - 12)}
+        for k in range(len(text) - 12):
+            if tuple(text[k : k + 13]) in held:
+                want[k : k + 13] = True
+        got = substring.Phrases([(o, b" ".join(w)) for o, w in passages]).earlier(3, text)
+        assert (got == want).all()
+    words = [b"a"] * 200_000
+    assert substring.Phrases([(1, b" ".join(words))]).earlier(2, words).all() and not substring.Phrases([(1, b" ".join(words))]).earlier(1, words).any()
