@@ -1,5 +1,6 @@
 """Operators that compare documents with each other, against brute force over all of them."""
 
+import functools
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ledgerlake.errors import InvalidArgument
 from ledgerlake.llm import katz, neardup, substring
 from ledgerlake.llm import parts as P
 from ledgerlake.llm import queries as Q
@@ -232,46 +234,56 @@ def test_passages_of_edge_cases(edge, empty):
 # 6: language model
 
 
-def scores(rows, held=(10, 0)):
+def scores(rows, held=(10, 0), order=2):
+    """n-grams as tuples of words, 0 the begin of a text and 1 its end; all counts in dictionaries."""
     out = lambda i: None if i is None else zlib.crc32(str(i).encode()) % held[0] == held[1]
     tokens = [(i, [*(t or "").encode().lower().split(), 1]) for i, t in rows]
-    words, pairs = Counter(), Counter()
+    past = lambda w, k: tuple([0, *w][max(0, k + 2 - order) : k + 1]) if order > 1 else ()
+    grams = [Counter() for _ in range(order)]
     for i, w in tokens:
-        if out(i) is False:
-            words.update(w)
-            pairs.update(zip([0, *w[:-1]], w, strict=True))
+        for k, x in enumerate(w if out(i) is False else ()):
+            for m in range(len(past(w, k)) + 1):
+                grams[m][(*past(w, k)[len(past(w, k)) - m :], x)] += 1
 
     def table(c):
         n = Counter(c.values())
         return katz.discounted(np.array([n[r] for r in range(katz.KATZ + 2)]))
 
-    tw, tp, n, v = table(words), table(pairs), sum(words.values()), len(words)
-    left = lambda c, t: t[c] if c <= katz.KATZ else c - (katz.KATZ - t[katz.KATZ])
-    unknown = sum(c - left(c, tw) for c in words.values()) / n if n else 1.0
-    alone = lambda w: left(words[w], tw) / n if words[w] else unknown
-    total, loss, seen = Counter(), Counter(), Counter()
-    for (h, w), c in pairs.items():
-        total[h] += c
-        loss[h] += c - left(c, tp)
-        seen[h] += alone(w)
-
-    def p(h, w):
-        if pairs[h, w]:
-            return left(pairs[h, w], tp) / total[h]
-        return loss[h] / total[h] / (1 - seen[h]) * alone(w) if total[h] else alone(w)
-
-    for h in list(total)[:20]:
-        assert math.isclose(sum(p(h, w) for w in words) + loss[h] / total[h] / (1 - seen[h]) * unknown, 1, rel_tol=1e-9)
+    tables = [table(c) for c in grams]
+    left = lambda m, c: tables[m][c] if c <= katz.KATZ else c - (katz.KATZ - tables[m][katz.KATZ])
+    words, n, v = Counter({x: c for (x,), c in grams[0].items()}), grams[0].total(), len(grams[0])
+    unknown = sum(c - left(0, c) for c in words.values()) / n if n else 1.0
+    total, loss, after = Counter(), Counter(), {}
+    for m in range(1, order):
+        for (*h, x), c in grams[m].items():
+            total[tuple(h)] += c
+            loss[tuple(h)] += c - left(m, c)
+            after.setdefault(tuple(h), []).append(x)
+
+    @functools.cache
+    def weight(h):
+        return loss[h] / total[h] / (1 - math.fsum(p(h[1:], x) for x in after[h]))
+
+    @functools.cache
+    def p(h, x):
+        if not h:
+            return left(0, words[x]) / n if words[x] else unknown
+        if grams[len(h)][*h, x]:
+            return left(len(h), grams[len(h)][*h, x]) / total[h]
+        return weight(h) * p(h[1:], x) if total[h] else p(h[1:], x)
+
+    for h in [*list(total)[:20], *list(total)[-20:]]:
+        assert math.isclose(math.fsum(p(h, x) for x in words) + p(h, None), 1, rel_tol=1e-9)
     result = []
     for i, w in tokens:
         base = sum(math.log10((words[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        result.append((i, out(i), len(w), sum(words[x] > 0 for x in w), n, base, sum(math.log10(p(h, x)) for h, x in zip([0, *w[:-1]], w, strict=True))))
+        result.append((i, out(i), len(w), sum(words[x] > 0 for x in w), n, base, math.fsum(math.log10(p(past(w, k), x)) for k, x in enumerate(w))))
     return result
 
 
-def check_scores(rows, got):
+def check_scores(rows, got, order=2):
     key = lambda r: (r[0] is None, r[0] or 0, round(r[5], 6), round(r[6], 6))
-    want, got = sorted(scores(rows), key=key), sorted(map(tuple, got), key=key)
+    want, got = sorted(scores(rows, order=order), key=key), sorted(map(tuple, got), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
         assert math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9, abs_tol=1e-9)
@@ -293,6 +305,17 @@ def test_scores_of_edge_cases(spark, edge, empty):
     check_scores(few, katz.score(frame(spark, few), (10, 0)).collect())
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_scores_of_any_order(spark, edge, empty, order):
+    docs = read(spark)
+    check_scores([(r.doc_id, r.text) for r in docs.collect()], katz.score(docs, (10, 0), order).collect(), order)
+    check_scores([(r.doc_id, r.text) for r in edge.collect()], katz.score(edge, (10, 0), order).collect(), order)
+    assert katz.score(empty, (10, 0), order).count() == 0
+    assert {r.score for r in katz.score(edge, (1, 0), order).collect()} == {0.0}
+    with pytest.raises(InvalidArgument):
+        katz.score(docs, (10, 0), 0)
+
+
 def test_discounts():
     assert (katz.discounted(np.array([0, 0, 0, 0, 0, 0, 0]))[1:] == np.arange(1, 6) - 0.5).all()
     got = katz.discounted(np.array([0, 100, 40, 20, 12, 8, 5]))
