@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from ledgerlake.errors import InvalidArgument
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class Mask:
     """kind: null, default (value), partial (first and last characters shown, sign between), sha256, tokenize (keyed by value), custom (value is SQL)."""
@@ -23,7 +28,7 @@ class Mask:
     sign: str = "*"
 
     def column(self, name: str, dtype: T.DataType) -> Column:
-        c = F.col(name)
+        c = F.col(quoted(name))
         if self.kind == "null":
             return F.lit(None).cast(dtype)
         if self.kind == "default":

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.errors import InvalidArgument, PermissionDenied
-from ledgerlake.functions.masks import Mask
+from ledgerlake.functions.masks import Mask, quoted
 from ledgerlake.table import Snapshot, Table
 
 #: Actions that a role may hold; "all" stands for every one.
@@ -125,7 +125,7 @@ class Security:
         for f in df.schema:
             rule = rules.get(f.name)
             if rule is None:
-                out.append(F.col(f.name))
+                out.append(F.col(quoted(f.name)))
             elif rule.mask is not None:
                 out.append(rule.mask.column(f.name, f.dataType).alias(f.name))
         return df.select(*out)

@@ -620,7 +620,14 @@ def zorder_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.source(spark, sf_dir, "part").select("p_partkey", interleaved([F.col("p_partkey"), F.col("p_size")], _KEY_BITS).alias("z"))
 
 
-@query()
+_SCALED = ("o_custkey::double", "epoch_us(o_orderdate)::double", "cast('0x' || rpad(left(hex(o_orderpriority), 12), 12, '0') as bigint)::double")
+_BITS = " + ".join(f"((s{i} >> {b}) & 1) * {1 << 3 * b + 2 - i}" for i in range(3) for b in range(8))
+
+
+@query(f"""with n as (select o_orderkey, {", ".join(f"{x} as x{i}" for i, x in enumerate(_SCALED))} from orders),
+    b as (select {", ".join(f"min(x{i}) as low{i}, max(x{i}) as high{i}" for i in range(3))} from n),
+    s as (select o_orderkey, {", ".join(f"coalesce(greatest(0, least(255, floor((x{i} - low{i}) / nullif(high{i} - low{i}, 0) * 256))), 0)::bigint as s{i}" for i in range(3))} from n cross join b)
+    select o_orderkey, ({_BITS})::bigint as z from s""")
 def zorder_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.source(spark, sf_dir, "orders")
     return df.select("o_orderkey", zorder_key(df, ["o_custkey", "o_orderdate", "o_orderpriority"]).alias("z"))

@@ -445,3 +445,10 @@ def test_updates_of_keys_that_are_not_one_to_one(spark):
     df = spark.createDataFrame([(k, v, op, n, str(n), "f", i) for i, (k, v, op, n) in enumerate(rows)], "id long, v string, _op string, _txn_seq long, _txn_id string, _file string, _pos long")
     got = {(r.id, r.v, r["_op"], r["_prev"] and r["_prev"].v) for r in changes.detect_updates(df, ("id",), ["id", "v"], True).collect()}
     assert got == {(1, "b", "update", "a"), (2, "c", "delete", None), (2, "d", "insert", None), (2, "e", "insert", None), (None, "f", "delete", None), (None, "g", "insert", None), (1, "h", "insert", None)}
+
+
+def test_masks_of_names_with_dots(spark):
+    df = spark.createDataFrame([("abcdef", "x")], "`a.b` string, `c``d` string")
+    masks = {"a.b": Mask("partial", first=1, last=1), "c`d": Mask("sha256")}
+    got = df.select(*[masks[f.name].column(f.name, f.dataType) for f in df.schema]).first()
+    assert got[0] == "a****f" and len(got[1]) == 64
