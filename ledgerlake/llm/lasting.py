@@ -6,14 +6,20 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlake.errors import InvalidArgument
+
 CHECKPOINTS = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder holds where it is named; a session without one (tests) gets a temporary one."""
+    """The cluster's checkpoint folder holds where it is named; a local session without one (tests) gets a temporary
+    one, any other is refused, as its executors do not share the driver's disk."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get(CHECKPOINTS) or spark.conf.get(CHECKPOINTS, None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get(CHECKPOINTS) or spark.conf.get(CHECKPOINTS, None)
+        if not named and not context.master.startswith("local"):
+            raise InvalidArgument(f"{CHECKPOINTS} must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def lasting(df: DataFrame) -> DataFrame:
