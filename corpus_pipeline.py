@@ -1,7 +1,10 @@
 """From raw documents to encoded training text: STAGES, each written as Parquet and read by the next; run() applies them.
 
-A stage takes (spark, docs, sf_dir). All but the last return the columns of their input. Rows that a
-stage does not reject pass whole; an empty table passes as one.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of their input, also those whose
+names the operators use themselves. Rows that a stage does not reject pass whole; an empty table passes as
+one. Null and empty texts have no words, so quality rules drop them; the other stages keep them. Texts of
+any length are read whole. Near duplicates keep the row of the least doc_id of a group, and one row of those
+that share it; a row without a doc_id is in no group and stays. The other stages judge every row by its text.
 """
 
 from __future__ import annotations
@@ -59,4 +62,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """A stage's output, once the next one's is written; the last one's holds the result and stays."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
