@@ -37,7 +37,7 @@ def test_words_and_grams():
     assert list(offsets) == [0, 4, 4, 7, 8]
     three = W.grams(hashes, 3)
     assert three[1] == three[4] and len(set(three.tolist())) == 5 and list(W.starts_within(offsets, 3)) == [True, True, False, False, True, False]
-    assert [i for i, _ in W.batches([b"a b", None, b"c", b""], 2)] == [0, 3] or [i for i, _ in W.batches([b"a b", None, b"c", b""], 2)] == [0, 1]
+    assert [i for i, _ in W.batches([b"a b", None, b"c", b""], 2)] == [0, 1]
     assert len(W.grams(hashes, 9)) == 0
 
 
@@ -172,8 +172,9 @@ def test_components(spark, lasting):
 def test_neardup_of_edge_cases(spark, edge, empty, lasting):
     check_classes([(r.doc_id, r.text) for r in edge.collect()], neardup.classes(edge, lasting).collect())
     kept = neardup.one_of_each(edge, lasting)
-    ids = sorted(r.doc_id or -1 for r in kept.collect())
-    assert kept.columns == edge.columns and ids == [-1, -1, *[i for i in range(14) if i != 10 and i != 0], 90] or 10 not in ids and ids.count(90) == 1 and 0 in [r.doc_id for r in kept.collect()]
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == edge.columns and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == [*(i for i in range(14) if i != 10), 90]
     assert neardup.classes(empty, lasting).count() == 0 and neardup.one_of_each(empty, lasting).count() == 0
 
 
