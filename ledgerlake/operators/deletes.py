@@ -71,20 +71,24 @@ def delete_where_with_retry(table: Table, predicate: Predicate, attempts: int =
 def upsert(table: Table, rows: DataFrame, keys: list[str]) -> CommitResult:
     """Replaces rows with equal keys and adds the others, in one commit: positions of the old rows, files of the new.
 
-    Rows must have unique keys. The key columns of the table are read; Spark picks the join.
+    Rows must have unique keys; files staged for rows that don't are orphans, for upkeep to remove. The input is
+    evaluated once, when it is staged, and its keys are read from the new files. The key columns of the table are
+    read; Spark picks the join.
     """
-    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+    spark = table.catalog.spark
+    new = table.stage(rows)
+    kinds = table.snapshot().view.schema.spec.to_spark()
+    narrow = type(kinds)([f for f in kinds if f.name in keys])
+    given = spark.read.schema(narrow).parquet(*[f.path for f in new]) if new else spark.createDataFrame([], narrow)
+    if not given.groupBy(*keys).count().where("count > 1").isEmpty():
         raise InvalidArgument("rows to upsert repeat a key")
 
     def attempt() -> CommitResult:
         now = table.snapshot()
         files = now.files()
-        spark = table.catalog.spark
-        kinds = now.view.schema.spec.to_spark()
-        narrow = type(kinds)([f for f in kinds if f.name in keys])
         builder = table.write(now.view.transaction_id)
         if files:
-            hits = scan.read_files(spark, files, narrow, located=True).join(rows.select(*keys), keys, "left_semi").select(PATH, POSITION)
+            hits = scan.read_files(spark, files, narrow, located=True).join(given, keys, "left_semi").select(PATH, POSITION)
             path = f"{now.view.location.rstrip('/')}/deletes/{new_uuid()}"
             before = [f for f in files if f.dv_path]
             if before:
@@ -94,7 +98,7 @@ def upsert(table: Table, rows: DataFrame, keys: list[str]) -> CommitResult:
             for f in files:
                 if counts.get(f.path, 0) > f.dv_cardinality:
                     builder = builder.set_deletion_vector(f.uuid, path, counts[f.path])
-        return builder.append_files(table.stage(rows)).commit()
+        return builder.append_files(new).commit()
 
     return table.catalog.commit_with_retry(attempt)
 

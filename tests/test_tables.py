@@ -452,3 +452,16 @@ def test_masks_of_names_with_dots(spark):
     masks = {"a.b": Mask("partial", first=1, last=1), "c`d": Mask("sha256")}
     got = df.select(*[masks[f.name].column(f.name, f.dataType) for f in df.schema]).first()
     assert got[0] == "a****f" and len(got[1]) == 64
+
+
+def test_upsert_evaluates_its_input_once(spark, catalog, tmp_path):
+    """Random values: those that were compared are those that were written."""
+    df = spark.range(20).select(F.col("id"), F.lit(0.0).alias("x"))
+    table = catalog.create_table("s.once", str(tmp_path / "once"), SchemaSpec.from_spark(df.schema))
+    table.append(df)
+    drawn = spark.range(10).select((F.col("id") * 4 + F.floor(F.rand() * 4)).alias("id"), F.lit(1.0).alias("x"))
+    deletes.upsert(table, drawn, ["id"])
+    ids = [r.id for r in table.df().collect()]
+    assert len(ids) == len(set(ids)) and table.df().where("x = 1").count() == 10
+    deletes.upsert(table, drawn.limit(0), ["id"])
+    assert sorted(r.id for r in table.df().collect()) == sorted(ids)
