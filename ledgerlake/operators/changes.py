@@ -122,10 +122,11 @@ def _raw(table: Table, after: int, to: int, schema: T.StructType) -> DataFrame:
 
 
 def _tagged(rows: DataFrame, files: list[tuple[DataFile, int]], ids: dict[int, str], op: str, spark) -> DataFrame:
-    """rows with the transaction of their file: a join with the files, which the catalog bounds."""
+    """rows with the transaction of their file: a join with the files, which the catalog bounds. Their list is the side to
+    broadcast: Spark does not know its size, and may take the rows for smaller, by what their files measure compressed."""
     of = spark.createDataFrame([(f.path, s, ids[s]) for f, s in files], f"{PATH} string, _txn_seq long, _txn_id string")
     names = [c for c in rows.columns if c not in (PATH, POSITION)]
-    return rows.join(of, PATH).select(*[F.col(f"`{n}`") for n in names], F.lit(op).alias("_op"), "_txn_seq", "_txn_id", F.col(PATH).alias("_file"), F.col(POSITION).alias("_pos"))
+    return rows.join(F.broadcast(of), PATH).select(*[F.col(f"`{n}`") for n in names], F.lit(op).alias("_op"), "_txn_seq", "_txn_id", F.col(PATH).alias("_file"), F.col(POSITION).alias("_pos"))
 
 
 def _as_of(table: Table, removed: list[tuple[DataFile, int]]) -> list[tuple[DataFile, int]]:

@@ -465,3 +465,16 @@ def test_upsert_evaluates_its_input_once(spark, catalog, tmp_path):
     assert len(ids) == len(set(ids)) and table.df().where("x = 1").count() == 10
     deletes.upsert(table, drawn.limit(0), ["id"])
     assert sorted(r.id for r in table.df().collect()) == sorted(ids)
+
+
+def test_changes_hold_no_rows_in_a_broadcast(spark, tmp_path):
+    """Inserts and deletes of files that are small as they are written, with many rows: only the list of files is broadcast."""
+    table = Catalog.in_memory(spark).create_table("n.t", str(tmp_path / "t"), SchemaSpec.from_spark(spark.range(1).schema))
+    for k in range(2):
+        table.append(spark.range(1000 * k, 1000 * k + 1000).coalesce(1))
+    table.write().delete_files([table.read().files[0].uuid]).commit()
+    found = changes.read_changes(table)
+    seen = [(r["_op"], r["_txn_seq"], r["count"]) for r in found.groupBy("_op", "_txn_seq").count().collect()]
+    assert sorted(seen) == [("delete", 4, 1000), ("insert", 2, 1000), ("insert", 3, 1000)]
+    plan = str(found._jdf.queryExecution().executedPlan())
+    assert plan.count("BuildRight") == 2 and "BuildLeft" not in plan
