@@ -1,6 +1,7 @@
 """Row-level changes between commits: inserts of added files, deletes of vectors and removed files, updates by key.
 
 A transaction that only rewrites (a compaction) changes no row, so neither its additions nor its removals count.
+What a range did is read from the log: snapshots are not listed, so a table may have more files than one may hold.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ class Checkpoint:
 
 def earliest(table: Table) -> int:
     """The first retained sequence."""
-    head = table.catalog.read_table(table.ident)
+    head = table.catalog.describe(table.ident)
     return table.catalog.store.row("select min(txn_sequence) as n from transactions where table_uuid = ?", (head.table_uuid,))["n"]
 
 
 def latest(table: Table) -> int:
-    return table.read().sequence
+    return table.catalog.describe(table.ident).sequence
 
 
 def _start(table: Table) -> int:
@@ -74,7 +75,7 @@ def read_changes(
     after = max(after, start)
     if after > to:
         raise InvalidArgument("from transaction is not an ancestor of to transaction")
-    schema = table.read_at(to).schema.spec.to_spark() if to else table.read().schema.spec.to_spark()
+    schema = table.catalog.describe(table.ident, to or None).schema.spec.to_spark()
     df = _raw(table, after, to, schema)
     if keys or previous:
         df = detect_updates(df, keys or tuple(_cdc_keys(table)), schema.names, previous)
@@ -89,7 +90,7 @@ def read_changes(
 
 
 def _cdc_keys(table: Table) -> list[str]:
-    keys = table.read().properties.get("cdc.key_columns") or []
+    keys = table.catalog.describe(table.ident).properties.get("cdc.key_columns") or []
     if not keys:
         raise InvalidArgument("update detection needs key columns: pass keys or set the property cdc.key_columns")
     return keys
@@ -147,7 +148,7 @@ def _as_of(table: Table, removed: list[tuple[DataFile, int]]) -> list[tuple[Data
 def _new_positions(table: Table, after: int, to: int, ids: dict[int, str]) -> tuple[list[DataFile], DataFrame] | None:
     """Positions that vectors of the range add to the vectors before them. Each vector holds its predecessor's, so
     a position counts at its first appearance."""
-    spark, store, uuid = table.catalog.spark, table.catalog.store, table.read().table_uuid
+    spark, store, uuid = table.catalog.spark, table.catalog.store, table.catalog.describe(table.ident).table_uuid
     rows = store.rows(
         "select d.*, f.file_path, d2.dv_path as old_path from deletion_vectors d join files f using (file_uuid) left join deletion_vectors d2 on d2.file_uuid = d.file_uuid and d2.removed_in_sequence = d.added_in_sequence"
         " where d.table_uuid = ? and d.added_in_sequence > ? and d.added_in_sequence <= ?", (uuid, after, to),

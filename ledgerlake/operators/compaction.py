@@ -20,7 +20,7 @@ from ledgerlake.plans import scan
 from ledgerlake.plans.scan import order_column
 from ledgerlake.sources.formats import WriteOptions
 from ledgerlake.sources.staging import stage
-from ledgerlake.table import Table
+from ledgerlake.table import Snapshot, Table
 
 MB = 1 << 20
 
@@ -109,7 +109,7 @@ def _outputs(files: list[DataFile], target_bytes: int) -> int:
 def _rewrite(table: Table, view: View, groups: list[list[DataFile]], lay_out) -> Result:
     """One commit for all groups: their files out, the new ones in. A group's rows are laid out by lay_out(df, outputs)."""
     spark, before, after = table.catalog.spark, [f for g in groups for f in g], []
-    spec = table.snapshot(view.sequence).spec()
+    spec = Snapshot(table.catalog, view).spec()
     for group in groups:
         df = lay_out(scan.read_files(spark, group, view.schema.spec.to_spark()), group)
         if not _all_deleted(group):
@@ -126,10 +126,10 @@ def _all_deleted(files: list[DataFile]) -> bool:
 
 
 def compact(table: Table, config: Config = Config(), attempts: int = 3, dry_run: bool = False) -> Result:  # noqa: B008 - immutable
-    """Bin-packs the head. After a conflict, plans again on the new head."""
+    """Bin-packs the head. After a conflict, plans again on the new head. Files that are left alone are not listed."""
 
     def attempt() -> Result:
-        view = table.read()
+        view = table.catalog.rewritable(table.ident, config.small_bytes)
         groups = bin_pack(view.files, config)
         if dry_run or not groups:
             files = [f for g in groups for f in g]

@@ -82,7 +82,7 @@ class Table:
 
     def stage(self, df: DataFrame, options: WriteOptions | None = None, *, stream: bool = False) -> list[FileSpec]:
         """Data files with df's rows, not yet part of the table."""
-        now = self.snapshot()
+        now = Snapshot(self.catalog, self.catalog.describe(self.ident))
         return stage(df, now.view.location, now.view.schema.spec, now.spec(), options, stream=stream)
 
     def append(self, df: DataFrame, options: WriteOptions | None = None, change: Callable[[MutationBuilder], MutationBuilder] = lambda b: b) -> CommitResult:

@@ -12,6 +12,7 @@ from ledgerlake.catalog import Catalog
 from ledgerlake.errors import Conflict, InvalidArgument, LimitExceeded, PermissionDenied, Unsupported
 from ledgerlake.functions.masks import Mask
 from ledgerlake.functions.transforms import PartitionField, PartitionSpec
+from ledgerlake.limits import Limits
 from ledgerlake.model import ColumnSpec, SchemaSpec
 from ledgerlake.operators import changes, compaction, deletes, maintenance, partitions, security
 from ledgerlake.plans import predicate as P
@@ -478,3 +479,27 @@ def test_changes_hold_no_rows_in_a_broadcast(spark, tmp_path):
     assert sorted(seen) == [("delete", 4, 1000), ("insert", 2, 1000), ("insert", 3, 1000)]
     plan = str(found._jdf.queryExecution().executedPlan())
     assert plan.count("BuildRight") == 2 and "BuildLeft" not in plan
+
+
+def test_changes_of_a_table_with_more_files_than_a_snapshot_may_list(spark, tmp_path):
+    """Files too large for compaction stay: appends, change feeds and compactions of others go on, reading the whole is refused."""
+    catalog = Catalog.in_memory(spark, limits=Limits(files_per_query=2))
+    table = catalog.create_table("n.t", str(tmp_path / "t"), SchemaSpec.from_spark(spark.range(1).schema))
+    seen, point = [], changes.initial_checkpoint(table)
+    for k in range(4):
+        table.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+        new, point = changes.read_changes_since(table, point)
+        seen += [(r.id, r["_op"], r["_txn_seq"]) for r in new.collect()]
+        assert compaction.compact(table, compaction.Config(small_bytes=1, fewest_files=2)).commit is None
+    assert sorted(seen) == [(n, "insert", 2 + n // 10) for n in range(40)] and point.sequence == 5
+    with pytest.raises(LimitExceeded):
+        table.read()
+    small = compaction.Config(small_bytes=5000, fewest_files=2)
+    with pytest.raises(LimitExceeded):  # four to choose from
+        compaction.compact(table, small)
+    table.write().delete_files([c.file.uuid for n in (2, 3) for c in catalog.events("n.t", n - 1, n)[0].file_changes]).commit()
+    table.append(spark.range(40, 20040).coalesce(1))
+    assert compaction.compact(table, small).files_before == 2 and len(table.read().files) == 2
+    steps = [changes.read_changes(table, n, n + k).groupBy("_op").count().collect() for n, k in ((5, 1), (6, 2))]
+    assert [[tuple(r) for r in step] for step in steps] == [[("delete", 20)], [("insert", 20000)]]
+    assert sorted(r.id for r in table.df().collect()) == list(range(20, 20040))
